@@ -193,10 +193,10 @@ ORACLE_SQL = {
          count(DISTINCT ref_id) AS n_orphans FROM o WHERE NOT coalesce(in_use, false) GROUP BY ALL""",
     "p2_found": _P2 + "SELECT DISTINCT target, file_id FROM rec",
     "p2_target_totals": _P2
-    + r""", cells AS (SELECT target, strlen(line) + 1 AS n, coalesce(TRY_CAST(list_extract(
+    + r""", cells AS (SELECT target, strlen(line) + 1 AS n, coalesce(TRY_CAST(trim(list_extract(
             regexp_extract_all(',' || CASE WHEN regexp_full_match(line, '(?s:("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*)') THEN line ELSE '' END,
             '(?s:,("(?:[^"]|"")*"|[^",]*))', 1),
-            list_position(string_split(header, ','), CASE WHEN target = 'filedescriptormappings' THEN 'fileDescriptor' ELSE 'timeBin' END)) AS BIGINT), 0) AS k FROM rec)
+            list_position(string_split(header, ','), CASE WHEN target = 'filedescriptormappings' THEN 'fileDescriptor' ELSE 'timeBin' END)), '"') AS BIGINT), 0) AS k FROM rec)
        SELECT target, CAST(count(*) AS BIGINT) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes, min(k) AS first_key, max(k) AS last_key
        FROM cells GROUP BY target""",
     "p3_found": _P3 + "SELECT DISTINCT file_id, line_no FROM bad",
