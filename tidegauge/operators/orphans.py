@@ -1,8 +1,8 @@
 """References to records that do not exist (at the time they are referred to).
 
 Parents are valid during ``[valid_from, valid_to)``; a reference needs a parent of the same key that is
-valid at some time in ``[at, until]``. Parent and child keys are united in tagged long form, grouped by key
-and time shard, and only groups that lack a parent flag covering them are looked at row by row.
+valid at some time in ``[at, until]``. Parent and child keys are united in tagged long form and grouped by
+key; the references that lack a parent flag are kept and counted by period.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import HOUR_NS, canonical_host
+from tidegauge.operators.skew import heavy_keys
 
 _OPEN = 2**63 - 1
 
@@ -39,70 +40,103 @@ def parents(df: DataFrame, keys: dict[str, Column], valid_from: Column, valid_to
     ).filter(F.col("valid_from") < F.col("valid_to"))
 
 
-def orphans(refs: DataFrame, known: DataFrame, keys: Sequence[str], shard_ns: int = HOUR_NS) -> DataFrame:
+def orphans(
+    refs: DataFrame, known: DataFrame, keys: Sequence[str], shard_ns: int = HOUR_NS, support: float = 0.005
+) -> DataFrame:
     """References without a valid parent: ``(ref_table, ref_id, at, reason)``, one row per row of ``refs``.
 
     A reference is covered if the largest end among the parents that started by ``until`` lies beyond
-    ``at``. Per ``(key, time shard)`` the tagged union keeps, pre-aggregated, the largest end of the
-    parents that start there and the latest ``at`` of the references; a running maximum over the shards of
-    a key carries ends on. A group whose carried end passes all of its references is flagged as
-    covered and dropped. In the remaining groups parents and references are swept in time order. A hot key
-    is thereby cut along time, and no task holds all of its rows.
-
-    ``reason`` is ``absent`` (the key has no parent at all), ``later`` (all of its parents start later) or
-    ``removed``. A null in a key matches no parent (``absent``); a null time with known parents is
-    ``removed``-less, hence ``later``. Repeated references give repeated rows; an empty ``known`` makes
-    every reference an orphan.
+    ``at``: the tagged union is grouped by key, and in time order a running maximum of the parents' ends flags
+    the references that have a parent. Keys with more than ``support`` of all rows (found by a sketch, so
+    their list is bounded) are cut along time as well, see ``_sharded``.
+
+    ``reason`` is ``absent`` (the key has no parent at all), ``later`` (all of its parents start later, or the
+    reference has no time) or ``removed``. A null in a key matches no parent (``absent``). Repeated
+    references give repeated rows; an empty ``known`` makes every reference an orphan.
     """
     keys = list(keys)
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
+    whole_key = F.concat_ws("\x1f", *keys)
+    live, valid = refs.filter(~no_key), known.filter(~no_key)
+    heavy = heavy_keys(live.select(*keys).unionByName(valid.select(*keys)), {"key": whole_key}, support).select(
+        F.col("val").alias("__hot")
+    )
+
+    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        tested = df.withColumn("__hot", whole_key)
+        return (
+            tested.join(F.broadcast(heavy), "__hot", "left_semi").drop("__hot"),
+            tested.join(F.broadcast(heavy), "__hot", "left_anti").drop("__hot"),
+        )
+
+    (hot_refs, cold_refs), (hot_known, cold_known) = split(live), split(valid)
+    traced = _swept(cold_refs, cold_known, keys).unionByName(_sharded(hot_refs, hot_known, keys, shard_ns))
     no_time = F.col("at").isNull() | F.col("until").isNull()
-    shard = lambda c: c - F.pmod(c, F.lit(shard_ns))
+    found = traced.filter(F.col("end").isNull() | no_time | (F.col("end") <= F.col("at")))
+    reason = F.when(~F.col("any_parent"), "absent").when(F.col("end").isNull() | no_time, "later").otherwise("removed")
+    nowhere = refs.filter(no_key).select("ref_table", "ref_id", "at", F.lit("absent").alias("reason"))
+    return found.select("ref_table", "ref_id", "at", reason.alias("reason")).unionByName(nowhere)
 
-    live = refs.filter(~no_key).withColumn("shard", F.coalesce(shard(F.col("until")), F.lit(-_OPEN)))
-    tagged_parents = known.filter(~no_key).withColumn("shard", shard(F.col("valid_from")))
 
-    long = live.select(
-        *keys, "shard", F.lit(None).cast("bigint").alias("p_end"), F.coalesce("at", F.lit(_OPEN)).alias("c_at")
-    ).unionByName(
-        tagged_parents.select(*keys, "shard", F.col("valid_to").alias("p_end"), F.lit(None).cast("bigint").alias("c_at"))
+_TRACED = ["ref_table", "ref_id", "at", "until", "end", "any_parent"]
+
+
+def _tagged(refs: DataFrame, known: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Long form of both sides in time order: parents (tag 0) come before the references (tag 1) of their time."""
+    return refs.withColumns({"t": F.col("until"), "tag": F.lit(1)}).unionByName(
+        known.select(*group, F.col("valid_from").alias("t"), F.lit(0).alias("tag"), F.col("valid_to").alias("p_end")),
+        allowMissingColumns=True,
     )
-    groups = long.groupBy(*keys, "shard").agg(F.max("p_end").alias("p_end"), F.max("c_at").alias("c_at"))
+
+
+def _swept(refs: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """References with the largest end of the parents begun by then, and whether their key has any parent."""
     of_key = Window.partitionBy(*keys)
-    before = of_key.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    lacking = (
-        groups.withColumn("carried", F.max("p_end").over(before))
+    so_far = of_key.orderBy("t", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        _tagged(refs, known, keys)
+        .withColumn("end", F.max("p_end").over(so_far))
         .withColumn("any_parent", F.max("p_end").over(of_key).isNotNull())
-        .filter(F.col("c_at").isNotNull() & (F.col("carried").isNull() | (F.col("carried") <= F.col("c_at"))))
-        .select(*keys, "shard", "carried", "any_parent", F.col("p_end").isNotNull().alias("starts_here"))
+        .filter(F.col("tag") == 1)
+        .select(*_TRACED)
     )
 
-    suspects = live.join(lacking, [*keys, "shard"], "inner")
-    plain = suspects.filter(~F.col("starts_here")).withColumn("end", F.col("carried"))
-    swept = suspects.filter("starts_here").select(
-        *keys, "shard", F.col("until").alias("t"), F.lit(1).alias("tag"), "carried", "any_parent", "ref_table", "ref_id", "at", "until",
-        F.lit(None).cast("bigint").alias("p_end"),
-    ).unionByName(
-        tagged_parents.join(lacking.filter("starts_here").select(*keys, "shard"), [*keys, "shard"], "left_semi").select(
-            *keys, "shard", F.col("valid_from").alias("t"), F.lit(0).alias("tag"), F.col("valid_to").alias("p_end")
-        ),
-        allowMissingColumns=True,
+
+def _sharded(refs: DataFrame, known: DataFrame, keys: Sequence[str], shard_ns: int) -> DataFrame:
+    """``_swept`` for hot keys: groups are (key, time shard), so no task holds all rows of a key.
+
+    Both sides are pre-aggregated per (key, shard): the largest end of the parents that start there, and whether
+    there are references. A running maximum over the few shards of a key carries the ends on. Shards in
+    which no parent starts need only the carried end; the others are swept in time order.
+    """
+    cut = lambda c: c - F.pmod(c, F.lit(shard_ns))
+    live = refs.withColumn("shard", F.coalesce(cut(F.col("until")), F.lit(-_OPEN)))
+    valid = known.withColumn("shard", cut(F.col("valid_from")))
+    long = live.select(*keys, "shard", F.lit(None).cast("bigint").alias("p_end"), F.lit(True).alias("is_ref")).unionByName(
+        valid.select(*keys, "shard", F.col("valid_to").alias("p_end"), F.lit(False).alias("is_ref"))
+    )
+    of_key = Window.partitionBy(*keys)
+    before = of_key.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    groups = (
+        long.groupBy(*keys, "shard")
+        .agg(F.max("p_end").alias("p_end"), F.max("is_ref").alias("is_ref"))
+        .withColumn("carried", F.max("p_end").over(before))
+        .withColumn("any_parent", F.max("p_end").over(of_key).isNotNull())
+        .filter("is_ref")
+        .select(*keys, "shard", "carried", "any_parent", F.col("p_end").isNotNull().alias("starts_here"))
     )
-    sweep = Window.partitionBy(*keys, "shard").orderBy("t", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = live.join(groups, [*keys, "shard"], "inner")
+    plain = joined.filter(~F.col("starts_here")).withColumn("end", F.col("carried"))
+    inside = valid.join(groups.filter("starts_here").select(*keys, "shard"), [*keys, "shard"], "left_semi")
+    so_far = Window.partitionBy(*keys, "shard").orderBy("t", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = (
-        swept.withColumn("ended", F.max("p_end").over(sweep))
+        _tagged(joined.filter("starts_here"), inside, [*keys, "shard"])
+        .withColumn("end", F.greatest(F.max("p_end").over(so_far), F.col("carried")))
         .filter(F.col("tag") == 1)
-        .withColumn("end", F.greatest("ended", "carried"))
     )
-    cols = ["ref_table", "ref_id", "at", "until", "end", "any_parent"]
-    found = plain.select(*cols).unionByName(swept.select(*cols)).filter(
-        F.col("end").isNull() | no_time | (F.col("end") <= F.col("at"))
-    )
-    reason = F.when(~F.col("any_parent"), "absent").when(F.col("end").isNull() | no_time, "later").otherwise("removed")
-    nowhere = refs.filter(no_key).select("ref_table", "ref_id", "at", F.lit("absent").alias("reason"))
-    return found.select("ref_table", "ref_id", "at", reason.alias("reason")).unionByName(nowhere)
+    return plain.select(*_TRACED).unionByName(swept.select(*_TRACED))
 
 
 def descriptor_orphans(io_event: DataFrame, op_stats: DataFrame, fd_map: DataFrame, bin_ns: int = HOUR_NS) -> DataFrame:
