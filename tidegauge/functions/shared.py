@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_TEMPORARY: str | None = None
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -16,5 +18,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegauge-"))
+        context.setCheckpointDir(shared_path(spark))
     return df.checkpoint(eager=True)
+
+
+def shared_path(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``, a temporary one where it is unset."""
+    global _TEMPORARY
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if given:
+        return given.rstrip("/")
+    if _TEMPORARY is None:
+        _TEMPORARY = tempfile.mkdtemp(prefix="tidegauge-")
+    return _TEMPORARY
