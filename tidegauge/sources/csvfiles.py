@@ -86,6 +86,6 @@ def write_cache(rows: DataFrame, path: str) -> None:
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(file, line_no, line)`` of whole text files (bounded side inputs such as logs and counters), lines from 1."""
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     split = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
     return texts.select("file", F.posexplode(split).alias("i", "line")).select("file", (F.col("i") + 1).alias("line_no"), "line")

@@ -34,7 +34,7 @@ BB_VARIANT_BIT = 28
 BB_EXTRA_BITS = {"data": (0, 4), "remoteCount": (0, 1), "remoteCpuTime": (1, 4), "remoteData": (1, 1)}
 #: Variants: number of additional header bytes per category.
 BB_VARIANTS = {"other": 0, "write": 1, "read": 2, "zip": 2}
-#: Bytes of the width codes; strings are a signed length byte (length - 127) and ASCII bytes.
+#: Bytes of the width codes; strings are a signed length byte (length - 127) and their bytes (UTF-8, so plain ASCII stays as it is).
 BB_WIDTHS = (1, 2, 4, 8)
 BB_STRING_BIAS, BB_STRING_MAX = 127, 254
 # --- Fixed values of the fb format: field numbers --------------------------------------------------------------
@@ -62,9 +62,9 @@ def _int(v: int, code: int) -> bytes:
 
 
 def _string(s: str) -> bytes:
-    raw = s.encode("ascii")
+    raw = s.encode("utf-8")
     if len(raw) > BB_STRING_MAX:
-        raise ValueError(f"longer than {BB_STRING_MAX} characters: {s[:40]}...")
+        raise ValueError(f"longer than {BB_STRING_MAX} bytes: {s[:40]}...")
     return struct.pack("<b", len(raw) - BB_STRING_BIAS) + raw
 
 
@@ -85,7 +85,7 @@ class _Bytes:
 
     def string(self) -> str:
         try:
-            return self.take(self.int(1) + BB_STRING_BIAS).decode("ascii")
+            return self.take(self.int(1) + BB_STRING_BIAS).decode("utf-8")
         except UnicodeDecodeError as e:
             raise Truncated(str(e)) from e
 
@@ -148,7 +148,7 @@ def encode_bb_mappings(rows: Iterable[dict]) -> bytes:
     """A bb file of descriptor mappings. The format has no code for 0, so 0 takes one byte."""
     out, n = [], 0
     for row in rows:
-        path = row["path"].encode("ascii")
+        path = row["path"].encode("utf-8")
         codes = [_width_code(row["pid"]), _width_code(row["fileDescriptor"]), _width_code(len(path))]
         out.append(bytes((codes[0] << 4 | codes[1] << 2 | codes[2],)) + _string(row["hostname"]) + _int(row["pid"], codes[0]))
         out.append(_string(row["key"]) + _int(row["fileDescriptor"], codes[1]) + _int(len(path), codes[2]) + path)
@@ -165,7 +165,7 @@ def decode_bb_mappings(buf: bytes) -> Iterator[tuple]:
             pid_w, fd_w, len_w = (BB_WIDTHS[header >> s & 3] for s in (4, 2, 0))
             host, pid, key, fd = b.string(), b.int(pid_w), b.string(), b.int(fd_w)
             path = b.take(b.int(len_w))
-            yield host, pid, key, fd, path.decode("ascii")
+            yield host, pid, key, fd, path.decode("utf-8")
     except (Truncated, UnicodeDecodeError):
         return
 
@@ -192,7 +192,7 @@ def _fb_table(values: dict[str, object], fields: list[str]) -> bytes:
     for i, _, kind, v in kept:
         if kind == "s":
             tail += bytes(-len(tail) % 4)
-            text = str(v).encode("ascii")
+            text = str(v).encode("utf-8")
             struct.pack_into("<I", table, slots[i], table_size + (-table_size % 4) + len(tail) - slots[i])
             tail += struct.pack("<I", len(text)) + text + b"\0"
         else:
@@ -218,7 +218,7 @@ def _fb_values(body: bytes, fields: list[str]) -> dict[str, object]:
                 (n,) = struct.unpack_from("<I", body, at)
                 if at + 4 + n > len(body):
                     raise Truncated("string beyond its record")
-                out[f] = body[at + 4 : at + 4 + n].decode("ascii")
+                out[f] = body[at + 4 : at + 4 + n].decode("utf-8")
             else:
                 (out[f],) = struct.unpack_from({"i": "<i", "b": "<b", "l": "<q"}[kind], body, table + slot)
         return out
@@ -421,5 +421,6 @@ class PackedSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the ``packed`` format known to the session."""
+    """Make the ``packed`` format known to the session, with filters passed on to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PackedSource)
