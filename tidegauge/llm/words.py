@@ -63,10 +63,11 @@ class Vocabulary:
 
     def __init__(self, ranked: list[str]) -> None:
         """``ranked``: words, the likeliest reading of a mask first."""
-        self.rank = {w: i for i, w in reversed(list(enumerate(ranked)))}
+        self.ranked = tuple(dict.fromkeys(ranked))
+        self.rank = {w: i for i, w in enumerate(self.ranked)}
         self.longest = max(map(len, ranked), default=1)
         self.by_shape: dict[tuple[int, str], list[str]] = {}
-        for w in sorted(self.rank, key=self.rank.__getitem__):
+        for w in self.ranked:
             self.by_shape.setdefault((len(w), w[0]), []).append(w)
         self.cut = lru_cache(65536)(self._cut)
         self.unmask = lru_cache(65536)(self._unmask)
@@ -151,6 +152,7 @@ def _shrunk(b: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     """Without all but one letter of runs of three and more."""
     same = np.zeros(len(b) + 3, bool)
     same[1 : len(b)] = (b[1:] == b[:-1]) & _LETTER[b[1:]]
+    same[ends[:-1]] = False  # texts don't touch
     triple = same[:-1] & same[1:]  # at i: the bytes i-1, i, i+1 are equal
     if not triple.any():
         return b, raw, ends
@@ -177,11 +179,10 @@ def hash_words(raw: np.ndarray, ends: np.ndarray, leet: bool = False, spell: boo
     before = np.zeros(n, bool)
     before[1:] = letter[:-1]
     camel = np.zeros(n, bool)
-    camel[1:] = _UPPER[raw[1:]] & letter[:-1] & ~_UPPER[raw[:-1]] & ~(_DIGIT[raw[:-1]] if leet else False)
-    first = np.zeros(n, bool)
-    firsts = ends[:-1][ends[:-1] < ends[1:]]
-    first[firsts] = True
-    begins = np.flatnonzero(letter & (~before | camel | first))
+    camel[1:] = _UPPER[raw[1:]] & letter[:-1] & ~_UPPER[raw[:-1]] & ~_DIGIT[raw[:-1]]
+    first = np.zeros(n + 1, bool)
+    first[ends] = True  # texts don't touch: here and below nothing looks across
+    begins = np.flatnonzero(letter & (~before | camel | first[:n]))
     if len(begins) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(ends) - 1, np.int64)
     size = 1 << max(20, int(n - 1).bit_length())
@@ -192,7 +193,7 @@ def hash_words(raw: np.ndarray, ends: np.ndarray, leet: bool = False, spell: boo
     # lone letters are variables or digits in base 16; only those that are words on their own stay
     lone = np.ones(len(begins), bool)
     inner = begins + 1 < n
-    lone[inner] = ~letter[begins[inner] + 1]
+    lone[inner] = ~letter[begins[inner] + 1] | first[begins[inner] + 1]
     lone[:-1] |= begins[1:] == begins[:-1] + 1
     kept = ~lone | (b[begins] == ord("i")) | (b[begins] == ord("u"))
     if not leet:  # short letter runs that touch a digit are parts of numbers or names
@@ -200,7 +201,8 @@ def hash_words(raw: np.ndarray, ends: np.ndarray, leet: bool = False, spell: boo
         digit[:n] = _DIGIT[b]
         width = np.cumsum(np.concatenate([[0], letter]))
         size_of = width[stops] - width[begins]
-        kept &= (size_of > 3) | ~(digit[begins - 1] & (begins > 0) | digit[begins + size_of])
+        after = begins + size_of
+        kept &= (size_of > 3) | ~((digit[begins - 1] & ~first[begins]) | (digit[after] & ~first[after]))
     begins, stops = begins[kept], stops[kept]
     words = mixed((total[stops] - total[begins]) * q[begins])
     counts = np.diff(np.searchsorted(begins, ends))
@@ -243,6 +245,9 @@ def leet_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     far = letter & ~((b >= ord("a")) & (b <= ord("f"))) & (b != ord("x"))  # letters that numbers in base 16 lack
     core = np.zeros(n, bool)
     core[1:-1] = digit[1:-1] & ((far[:-2] & letter[2:]) | (letter[:-2] & far[2:]) | (digit[:-2] & far[2:]) | (far[:-2] & digit[2:]))
+    edges = ends[:-1][ends[:-1] < ends[1:]]
+    core[edges] = False
+    core[ends[1:][ends[1:] > ends[:-1]] - 1] = False
     if not core.any():
         return raw[:0], np.zeros(len(ends), np.int64)
     cut = b == 10
