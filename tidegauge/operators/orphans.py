@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import HOUR_NS, canonical_host
-from tidegauge.operators.skew import heavy_keys
+from tidegauge.operators.skew import heavy_keys, listed
 
 _OPEN = 2**63 - 1
 
@@ -60,9 +60,8 @@ def orphans(
         no_key = no_key | F.col(k).isNull()
     whole_key = F.concat_ws("\x1f", *keys)
     live, valid = refs.filter(~no_key), known.filter(~no_key)
-    heavy = heavy_keys(live.select(*keys).unionByName(valid.select(*keys)), {"key": whole_key}, support).select(
-        F.col("val").alias("__hot")
-    )
+    both = live.select(*keys).unionByName(valid.select(*keys))
+    heavy = listed(heavy_keys(both, {"key": whole_key}, support)).select(F.col("val").alias("__hot"))
 
     def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         tested = df.withColumn("__hot", whole_key)

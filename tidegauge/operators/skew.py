@@ -58,6 +58,12 @@ def heavy_keys(df: DataFrame, fields: dict[str, Column], support: float) -> Data
     )
 
 
+def listed(heavy: DataFrame) -> DataFrame:
+    """The bounded result of ``heavy_keys`` as a local table: the sketch is made once, however often the list is used,
+    and plans lose the branch for heavy keys where there are none."""
+    return heavy.sparkSession.createDataFrame(heavy.collect(), heavy.schema)
+
+
 def skew_totals(
     rows: DataFrame, heavy: DataFrame, sums: dict[str, Column], distinct: dict[str, str] | None = None, salts: int = SALTS
 ) -> DataFrame:
@@ -116,7 +122,7 @@ def key_totals(
     count as often as they are stored (``distinct`` counts ids once).
     """
     distinct = distinct or {}
-    heavy = heavy_keys(events, fields, support)
+    heavy = listed(heavy_keys(events, fields, support))
     carry = {f"__s_{n}": c for n, c in sums.items()} | {f"__d_{n}": F.col(c) for n, c in distinct.items()}
     rows = long_keys(events, fields, carry)
     totals = skew_totals(
