@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.operators.skew import SALTS, salted_join
+
 
 def counter_deltas(snapshots: DataFrame, host: str = "host") -> DataFrame:
     """Growth of ``rd`` and ``wr`` between the snapshots ``pre``, ``mid`` and ``post``, by mount and for all mounts.
@@ -27,25 +29,21 @@ def last_value_totals(lines: DataFrame, keys: Sequence[str], order: str, value:
     return last.groupBy(*total_by).agg(F.sum("__v").alias("total"))
 
 
-def first_occurrences(lines: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def first_occurrences(lines: DataFrame, key: str, order: str, value: str, salts: int = SALTS) -> DataFrame:
     """Per counter: its first and second value (the two phases), and its last (overwriting wins).
 
-    The two lowest orders are kept by aggregation with map-side combine, so no window sorts all lines of a counter.
+    The lowest orders are found by aggregation with map-side combine, the second one after a salted join, so no task
+    sorts or holds all lines of a counter.
     """
     item = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
     lows = lines.groupBy(key).agg(F.min(item).alias("lo1"), F.max_by(value, order).alias("last_value"))
-    second = lines.join(lows.select(F.col(key), F.col("lo1.o").alias("__o")), key).filter(F.col(order) > F.col("__o")).groupBy(key).agg(
-        F.min(item).alias("lo2")
-    )
+    rest = salted_join(lines.select(key, order, value), lows.select(key, F.col("lo1.o").alias("__o")), [key], [order], salts)
+    second = rest.filter(F.col(order) > F.col("__o")).groupBy(key).agg(F.min(item).alias("lo2"))
     return lows.join(second, key, "left").select(
         key, F.col("lo1.v").alias("phase_1"), F.col("lo2.v").alias("phase_2"), "last_value"
     )
 
 
-def _after(line: Column, name: str) -> Column:
-    return F.regexp_extract(line, rf"{name}=(-?[0-9]+)", 1).try_cast("bigint")
-
-
 def xfs_counters(lines: DataFrame) -> DataFrame:
     """``(file, name, value)`` of the byte and call counters in ``xpc`` and ``rw`` lines ``(file, line)``."""
     f = F.split(F.trim("line"), r"\s+")

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.exprs import canonical_host
+from tidegauge.functions.exprs import HOUR_NS, canonical_host
 
 #: Letters of the skip flags and the categories they stand for.
 SKIP_LETTERS = {"r": "read", "w": "write", "o": "other", "z": "zip"}
@@ -115,14 +117,24 @@ def while_running(events: DataFrame, started: int, stopped: int) -> DataFrame:
     return events.filter(F.col("start_ns").between(started, stopped))
 
 
-def descriptor_ids(seen: DataFrame, process: Sequence[str], path: str, at: str) -> DataFrame:
+def descriptor_ids(seen: DataFrame, process: Sequence[str], path: str, at: str, shard_ns: int = HOUR_NS) -> DataFrame:
     """Dense ids from 1 per process, in the order in which paths were first seen; a path seen again keeps its id.
 
-    Paths first seen at the same time are numbered by name. Null paths get no id. First sightings are pre-aggregated.
+    Paths first seen at the same time are numbered by name. Null paths get no id, unknown times come first. First
+    sightings are pre-aggregated, and numbered per time shard on top of the number of ids given before, so a process
+    with very many files is no single task's work.
     """
     first = seen.filter(F.col(path).isNotNull()).groupBy(*process, path).agg(F.min(at).alias("first_seen"))
-    order = Window.partitionBy(*process).orderBy("first_seen", path)
-    return first.withColumn("descriptor", F.dense_rank().over(order))
+    cut = first.withColumn("__shard", F.coalesce(F.floor(F.col("first_seen") / F.lit(shard_ns)), F.lit(-(2**62))))
+    before = Window.partitionBy(*process).orderBy("__shard").rowsBetween(Window.unboundedPreceding, -1)
+    given = (
+        cut.groupBy(*process, "__shard").agg(F.count(F.lit(1)).alias("__n"))
+        .withColumn("__given", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    )
+    order = Window.partitionBy(*process, "__shard").orderBy("first_seen", path)
+    same = [cut[c].eqNullSafe(given[c]) for c in (*process, "__shard")]
+    numbered = cut.join(given, reduce(and_, same)).select(cut["*"], "__given")
+    return numbered.withColumn("descriptor", (F.col("__given") + F.row_number().over(order)).cast("int")).drop("__shard", "__given")
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: str, value: str, out: str, shard: int = 1 << 20) -> DataFrame:
