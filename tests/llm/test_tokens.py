@@ -1,9 +1,11 @@
 """Token counts and word streams against plain Python."""
 
+import os
 import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -31,6 +33,15 @@ def test_document_sizes(spark):
     assert sorted(map(tuple, document_sizes(df).collect())) == [(1, 2), (2, 0), (3, 0)]
 
 
+def test_vocabulary(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary files here")
+    df = spark.createDataFrame([(1, "Hello world, hello"), (2, None), (3, ""), (4, "x = 10\n")], "doc_id bigint, text string")
+    got = dict(map(tuple, document_sizes(df, ranks_path=path).collect()))
+    assert got[1] == 4 and got[2] == got[3] == 0 and got[4] == 4
+
+
 def _hashes(*texts, leet=False):
     raw = "".join(texts).encode()
     ends = np.cumsum([0] + [len(t.encode()) for t in texts])

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ EVIDENCE, LABEL_TRUST = 64.0, 0.9
 SOFT_PASSES, SHARP_PASSES, TOLERANCE = 12, 20, 1e-5
 #: Sources that may be mixed at once: their totals travel to the driver in every pass.
 MAX_SOURCES = 1000
-#: Documents of a task.
-DOCS_A_TASK = 200_000
+#: Documents of a task; documents among which rates are rounded.
+DOCS_A_TASK, ROUNDING_GROUP = 200_000, 5000
 
 
 def canonical_source(column: str = "source"):
@@ -198,8 +199,8 @@ def mix_documents(documents: DataFrame, targets: DataFrame, max_labelled: int =
     """Selection ``(doc_id, k, tokens, rate, repeats)`` of every document of a target source, and the targets.
 
     The total aimed at is that of all documents of the target sources. ``repeats`` is the rate rounded to a whole number
-    by systematic rounding along a hash order in groups of bounded size, so that a source's total is off by some
-    documents at most; it never exceeds ``max_repeat``, and may be 0. Null and empty texts have no tokens.
+    in groups of bounded size that carry what is owed from document to document, so that a group's total is off by half of
+    a short document; it never exceeds ``max_repeat``, and may be 0. Null and empty texts have no tokens.
     Without targets or documents the selection is empty.
     """
     wanted = mix_targets(targets)
@@ -222,13 +223,24 @@ def mix_documents(documents: DataFrame, targets: DataFrame, max_labelled: int =
             )
 
     rated = members.mapInArrow(run, schema)
-    group = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, n_docs // 5000)))
-    along = Window.partitionBy("k", group).orderBy(F.xxhash64("doc_id", F.lit(6)), "doc_id")
-    # rates are whole numbers apart from a fraction; the fractions are summed, and a repeat falls due at each half
-    part = F.col("rate") - F.floor("rate")
-    run_up = F.sum(part).over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    due = (F.floor(run_up + 0.5) - F.floor(run_up - part + 0.5)).cast("int")
-    return rated.withColumn("repeats", (F.floor("rate").cast("int") + due)), wanted
+    group = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(max(1, n_docs // ROUNDING_GROUP))).alias("g")
+    return rated.groupBy("k", group).applyInPandas(lambda pdf: _rounded(pdf, most), schema + ", repeats int"), wanted
+
+
+def _rounded(pdf: pd.DataFrame, most: np.ndarray) -> pd.DataFrame:
+    """Whole repeats of one group's documents: from the longest to the shortest, each takes one more repeat if that brings
+    the tokens given so far nearer to those due, so the group ends within half of one of its short documents."""
+    pdf = pdf.sort_values(["tokens", "doc_id"], ascending=[False, True])
+    top = int(most[pdf["k"].iloc[0]])
+    owed, out = 0.0, []
+    for rate, tokens in zip(pdf["rate"].tolist(), pdf["tokens"].tolist(), strict=True):
+        n = min(int(rate), top)
+        owed += (rate - n) * tokens
+        if n < top and rate > n and owed >= tokens / 2:
+            n += 1
+            owed -= tokens
+        out.append(n)
+    return pdf.assign(repeats=np.array(out, np.int32))
 
 
 def mix_report(selection: DataFrame, wanted: list[tuple[str, float, int]]) -> DataFrame:

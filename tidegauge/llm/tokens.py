@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,40 @@ def token_count(text: Column) -> Column:
     return _token_count(text)
 
 
-def document_sizes(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``(doc_id, tokens)``, one row per document id; repeated rows count once, null ids are left out."""
-    sized = documents.select("doc_id", token_count(F.col(text)).alias("tokens")).filter(F.col("doc_id").isNotNull())
+#: Fixed value: how the byte-level vocabularies cut a text before merging.
+BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+@lru_cache(2)
+def _encoding(path: str):
+    import base64
+
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
+    return tiktoken.Encoding("own", pat_str=BPE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def bpe_token_count(text: Column, ranks_path: str) -> Column:
+    """Tokens of a text under a public byte-level vocabulary in tiktoken's rank format; 0 for null and empty texts.
+
+    ``ranks_path`` must be readable on every executor; each Python worker loads it once. Long texts are encoded whole.
+    """
+
+    @F.arrow_udf(LongType())
+    def count(texts: pa.Array) -> pa.Array:
+        encode = _encoding(ranks_path).encode_ordinary
+        return pa.array([len(encode(t)) if t else 0 for t in texts.to_pylist()], pa.int64())
+
+    return count(text)
+
+
+def document_sizes(documents: DataFrame, text: str = "text", ranks_path: str | None = None) -> DataFrame:
+    """``(doc_id, tokens)``, one row per document id; repeated rows count once, null ids are left out.
+
+    With ``ranks_path`` the tokens are those of that vocabulary.
+    """
+    count = bpe_token_count(F.col(text), ranks_path) if ranks_path else token_count(F.col(text))
+    sized = documents.select("doc_id", count.alias("tokens")).filter(F.col("doc_id").isNotNull())
     return sized.groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
