@@ -13,6 +13,7 @@ def test_calls(spark):
         (10, "channel", "readBytes", 20, None, 3, 4), (11, "channel", "transferFrom", 30, None, 3, 4), (12, "buffer", "get:long", None, 2, 3, None),
         (13, "buffer", "put:char", None, None, 3, None), (14, "fs", "mkdirs", None, None, 0, None), (15, "fs", "exists", None, None, 0, None),
         (16, "fs", "seek", None, None, 5, None), (17, "stream", None, 5, 5, 5, None), (18, "random", "readLine", 11, None, 3, None),
+        (19, "buffer", "get:int", None, None, 0, None),
     ]
     df = spark.createDataFrame(rows, "call_id int, kind string, method string, result bigint, size bigint, fd int, other_fd int")
     got = [(r["call_id"], r["fd"], r["category"], r["data"]) for r in I.call_rows(df).orderBy("call_id", "fd").collect()]
@@ -21,6 +22,7 @@ def test_calls(spark):
         (8, 3, "read", 12), (9, 3, "write", 10), (10, 3, "read", 20), (10, 4, "write", 20), (11, 3, "write", 30), (11, 4, "read", 30),
         (12, 3, "read", 16), (13, 3, "write", 2), (14, 0, "other", 0), (16, 5, "other", 0), (18, 3, "read", 11),
     ]
+    assert {r["call_id"] for r in I.call_rows(df, trace_mapped=False).collect()} == {g[0] for g in got} - {12, 13}
 
 
 def test_small_rules(spark):

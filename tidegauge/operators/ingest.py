@@ -64,14 +64,15 @@ def rewrite_scheme(uri: Column, old: str, new: str) -> Column:
     return F.regexp_replace(uri, f"^{old}:", f"{new}:")
 
 
-def call_rows(calls: DataFrame) -> DataFrame:
+def call_rows(calls: DataFrame, trace_mapped: bool = True) -> DataFrame:
     """Event rows ``(call_id, fd, category, data)`` of raw calls ``(call_id, kind, method, result, size, fd, other_fd)``.
 
     ``kind`` is the instrumented interface (``stream``, ``random``, ``channel``, ``buffer``, ``fs``). Opening and
     metadata calls are ``other``; reads count the bytes returned (nothing at the end of a file), single reads
     and writes one byte, ``readFully`` and array writes their size, UTF-16 writes two bytes a character, buffer
     accesses the width of their type times ``size``. A transfer to or from a second traced descriptor adds a row of
-    the opposite direction for it. Calls of other methods give no row.
+    the opposite direction for it. Mapped buffers count only if ``trace_mapped`` and if they come from a traced
+    descriptor. Calls of other methods give no row.
     """
     m, res, size = F.col("method"), F.coalesce("result", F.lit(0)), F.coalesce("size", F.lit(1))
     width = F.element_at(F.create_map(*[x for k, v in BUFFER_WIDTHS.items() for x in (F.lit(k), F.lit(v))]), F.substring_index(m, ":", -1))
@@ -90,7 +91,8 @@ def call_rows(calls: DataFrame) -> DataFrame:
         .otherwise(0)
     ).cast("bigint")
     opposite = F.when(category == "read", "write").when(category == "write", "read")
-    rows = calls.withColumns({"category": category, "data": data}).filter(F.col("category").isNotNull())
+    counted = (F.col("kind") != "buffer") | (F.lit(trace_mapped) & (F.coalesce("fd", F.lit(0)) != 0))
+    rows = calls.withColumns({"category": category, "data": data}).filter(F.col("category").isNotNull() & counted)
     both = F.when(
         F.col("other_fd").isNotNull() & (F.col("kind") == "channel"),
         F.array(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -89,3 +91,38 @@ def text_lines(spark: SparkSession, path: str) -> DataFrame:
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
     split = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
     return texts.select("file", F.posexplode(split).alias("i", "line")).select("file", (F.col("i") + 1).alias("line_no"), "line")
+
+
+def concatenate(spark: SparkSession, path: str, prefix: str = "", suffix: str = "", delete: bool = False) -> list[str]:
+    """One file per source and category, and one of the descriptor mappings, of the agents' CSV files in ``path``.
+
+    Outputs are the text folders ``<path>/<prefix><source>-<category><suffix>.csv`` and
+    ``<path>/<prefix>filedescriptormappings<suffix>.csv`` with one part each: the header once, then the records of all
+    files in order of name and line, one a line even where a file was cut off. Empty files and outputs of earlier runs
+    aren't taken in. With ``delete`` the files taken in are removed afterwards. Returns the outputs.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    system = hadoop.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    agent_file = re.compile(NAME.replace(r"\z", r"\Z"))
+    # listed before anything is read, so that files that arrive meanwhile stay; scans leave out empty files
+    taken = [
+        s.getPath() for s in system.listStatus(hadoop.Path(path))
+        if s.isFile() and (m := agent_file.match(s.getPath().getName())) and m.group(8) == "csv"
+    ]
+    lines = text_lines(spark, f"{path}/*.csv")
+    names = parsed_names(lines.select("file").distinct(), "file").filter("format = 'csv'").select(
+        "file", F.coalesce(F.concat_ws("-", F.nullif("source", F.lit("")), "category"), F.lit("")).alias("target")
+    )
+    target = F.when(F.col("target") == "", "filedescriptormappings").otherwise(F.col("target"))
+    own = lines.join(names.select("file", target.alias("target")), "file").filter((F.col("line") != "") | (F.col("line_no") == 1))
+    outputs = []
+    for row in names.select(target.alias("target")).distinct().orderBy("target").collect():
+        part = own.filter(F.col("target") == row["target"])
+        header = part.filter("line_no = 1 and line <> ''").orderBy("file").limit(1).select(F.lit("").alias("file"), F.lit(0).alias("line_no"), "line")
+        out = f"{path}/{prefix}{row['target']}{suffix}.csv"
+        rows = header.unionByName(part.filter("line_no > 1").select("file", "line_no", "line"))
+        rows.coalesce(1).sortWithinPartitions("file", "line_no").select("line").write.mode("overwrite").text(out)
+        outputs.append(out)
+    for p in taken if delete else ():
+        system.delete(p, False)
+    return outputs
