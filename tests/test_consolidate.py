@@ -75,6 +75,13 @@ def test_written_files(spark, tmp_path):
     assert sorted(r["value"] for r in back.collect()) == sorted(r["record"] for r in merged.collect())
 
 
+def test_lines_stored_twice(spark):
+    listing, lines = tables(spark, FILES)
+    twice = lines.unionByName(lines)
+    want = sorted(map(str, C.consolidate(listing, lines).select("file_id", "line_no", "record").collect()))
+    assert sorted(map(str, C.consolidate(listing, twice).select("file_id", "line_no", "record").collect())) == want
+
+
 def test_empty(spark):
     listing, lines = tables(spark, FILES)
     assert C.consolidate(listing.limit(0), lines).count() == 0

@@ -56,7 +56,7 @@ def sorted_runs(files: DataFrame, lines: DataFrame, salts: int = SALTS) -> DataF
     """Records of the chosen files with their sort key and run.
 
     ``(target, file_id, run, line_no, sort_key, record, n_bytes)``. The key is the file's key column as a
-    number, 0 where a broken record has none there. A run is a maximal stretch of a file whose keys
+    number, 0 where a broken record has none there. A line stored twice counts once. A run is a maximal stretch of a file whose keys
     don't fall; files are small (see ``input_files``), so the window over a file is bounded.
     """
     wanted = records(lines, files.select("file_id", "target", "key_column"), salts)
@@ -65,10 +65,12 @@ def sorted_runs(files: DataFrame, lines: DataFrame, salts: int = SALTS) -> DataF
     keyed = wanted.select(
         "target", "file_id", "line_no", F.coalesce(key.try_cast("bigint"), F.lit(0)).alias("sort_key"), "record",
         (F.octet_length("record") + 1).cast("bigint").alias("n_bytes"),
-    ).dropDuplicates(["file_id", "line_no"])
-    in_file = Window.partitionBy("file_id").orderBy("line_no")
+    )
+    in_file = Window.partitionBy("file_id").orderBy("line_no", "record")
+    again = F.coalesce(F.lag("line_no").over(in_file) == F.col("line_no"), F.lit(False))
     falls = F.coalesce((F.col("sort_key") < F.lag("sort_key").over(in_file)).cast("int"), F.lit(0))
-    return keyed.withColumn("falls", falls).withColumn("run", F.sum("falls").over(in_file)).drop("falls")
+    cut = keyed.withColumns({"again": again, "falls": falls}).withColumn("run", F.sum("falls").over(in_file))
+    return cut.filter(~F.col("again")).drop("again", "falls")
 
 
 def _merge_range(roll_bytes: int):
