@@ -171,6 +171,14 @@ bad AS (SELECT file_id, line_no, name || ': ' || reason AS why FROM e WHERE reas
     FROM c WHERE NOT sound OR len(cells) <> len(names))
 """
 
+
+
+def _typed(name: str, kind: str) -> str:
+    raw = f"list_extract(cells, list_position(names, '{name}'))"
+    bare = f"CASE WHEN {raw} LIKE '\"%' THEN replace(substr({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
+    return bare if kind == "string" else f"TRY_CAST({bare} AS {kind.upper()})"
+
+
 _P4 = """
 WITH r AS (SELECT series_id, reading_id, CASE WHEN length = -1 THEN 0 ELSE length END AS v, epoch_us(received_ts) * 1000 AS rx,
     CASE WHEN startTime < 100000000000000 THEN TRY(CAST(startTime AS HUGEINT) * 1000000)
@@ -202,6 +210,9 @@ ORACLE_SQL = {
     "p3_found": _P3 + "SELECT DISTINCT file_id, line_no FROM bad",
     "p3_rejected": _P3
     + "SELECT file_id, line_no, count(*) AS n_errors, string_agg(DISTINCT why, '; ' ORDER BY why) AS reasons FROM bad GROUP BY ALL",
+    "p3_accepted": _P3
+    + "SELECT file_id, line_no, " + ", ".join(f'{_typed(n, t)} AS "{n}"' for n, t in STAT_TYPES)
+    + " FROM c WHERE sound AND len(cells) = len(names) AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.file_id = c.file_id AND bad.line_no = c.line_no)",
     "p4_found": _P4 + "SELECT series_id, period_start FROM m",
     "p4_coverage": _P4
     + """, gaps AS (SELECT series_id, p, (lead(period_start) OVER (PARTITION BY series_id ORDER BY period_start) - period_start) // p - 1 AS n FROM u)
