@@ -60,8 +60,7 @@ def count_tokens(texts: pa.Array) -> np.ndarray:
         begins[1:] &= cls[1:] != cls[:-1]
         firsts = ends[i:j][ends[i + 1 : j + 1] > ends[i:j]] - lo
         begins[firsts] = cls[firsts] != 0
-        total = np.concatenate([[0], np.cumsum(begins, dtype=np.int64)])
-        out[i:j] = total[ends[i + 1 : j + 1] - lo] - total[ends[i:j] - lo]
+        out[i:j] = np.diff(np.searchsorted(np.flatnonzero(begins), ends[i : j + 1] - lo))
     return out
 
 

@@ -31,6 +31,9 @@ _ESCAPE = re.compile(r"\\(?:u\{?([0-9a-fA-F]{4,6})\}?|x([2-7][0-9a-fA-F]))")
 _PERCENT = re.compile(r"(?:%[2-7c-fC-F][0-9a-fA-F])+")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ ._-][^\W\d_]){3,}(?![^\W_])")
 _MASKED = re.compile(r"(?<![A-Za-z*])[A-Za-z]+(?:[*#][A-Za-z*#]*)?[*#][A-Za-z*#]*(?<=[A-Za-z])(?![A-Za-z*])")
+#: Bytes hashed at once.
+STRETCH = 1 << 19
+
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 
@@ -159,8 +162,7 @@ def _shrunk(b: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     n = len(b)
     drop = same[:n] & (triple[:n] | np.concatenate([[False], triple[: n - 1]]) | triple[1 : n + 1])
     keep = ~drop
-    at = np.concatenate([[0], np.cumsum(keep)])
-    return b[keep], raw[keep], at[ends]
+    return b[keep], raw[keep], ends - np.searchsorted(np.flatnonzero(drop), ends)
 
 
 def hash_words(raw: np.ndarray, ends: np.ndarray, leet: bool = False, spell: bool = False) -> tuple:
@@ -185,26 +187,26 @@ def hash_words(raw: np.ndarray, ends: np.ndarray, leet: bool = False, spell: boo
     begins = np.flatnonzero(letter & (~before | camel | first[:n]))
     if len(begins) == 0:
         return np.zeros(0, np.uint64), np.zeros(len(ends) - 1, np.int64)
-    size = 1 << max(20, int(n - 1).bit_length())
-    p, q = _powers(size)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(np.where(letter, b, 0).astype(np.uint64) * p[:n])])
-    # a word goes on to the next beginning, as what lies between adds nothing to its sum
-    stops = np.append(begins[1:], n)
+    # words end where their letters do, or where the next one begins
+    run_ends = np.flatnonzero(letter & np.append(~letter[1:], True)) + 1
+    stops = np.minimum(run_ends[np.searchsorted(run_ends, begins, "right")], np.append(begins[1:], n))
     # lone letters are variables or digits in base 16; only those that are words on their own stay
-    lone = np.ones(len(begins), bool)
-    inner = begins + 1 < n
-    lone[inner] = ~letter[begins[inner] + 1] | first[begins[inner] + 1]
-    lone[:-1] |= begins[1:] == begins[:-1] + 1
-    kept = ~lone | (b[begins] == ord("i")) | (b[begins] == ord("u"))
+    size_of = stops - begins
+    kept = (size_of > 1) | (b[begins] == ord("i")) | (b[begins] == ord("u"))
     if not leet:  # short letter runs that touch a digit are parts of numbers or names
-        digit = np.zeros(n + 1, bool)
-        digit[:n] = _DIGIT[b]
-        width = np.cumsum(np.concatenate([[0], letter]))
-        size_of = width[stops] - width[begins]
-        after = begins + size_of
-        kept &= (size_of > 3) | ~((digit[begins - 1] & ~first[begins]) | (digit[after] & ~first[after]))
+        digit = np.append(_DIGIT[b], False)
+        kept &= (size_of > 3) | ~((digit[begins - 1] & ~first[begins]) | (digit[stops] & ~first[stops]))
     begins, stops = begins[kept], stops[kept]
-    words = mixed((total[stops] - total[begins]) * q[begins])
+    words = np.empty(len(begins), np.uint64)
+    i = 0
+    while i < len(begins):  # in stretches, so that the powers and sums stay small in the longest text
+        lo = begins[i]
+        j = max(i + 1, int(np.searchsorted(begins, lo + STRETCH)))
+        hi = stops[j - 1]
+        p, q = _powers(1 << max(20, int(hi - lo).bit_length()))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(np.where(letter[lo:hi], b[lo:hi], 0).astype(np.uint64) * p[: hi - lo])])
+        words[i:j] = mixed((total[stops[i:j] - lo] - total[begins[i:j] - lo]) * q[begins[i:j] - lo])
+        i = j
     counts = np.diff(np.searchsorted(begins, ends))
     if spell:
         return words, counts, [b[i:k][letter[i:k]].tobytes().decode("utf-8", "replace") for i, k in zip(begins, stops, strict=True)]
@@ -231,8 +233,7 @@ def suspicious(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _any(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate([[0], np.cumsum(flags)])
-    return total[ends[1:]] > total[ends[:-1]]
+    return np.diff(np.searchsorted(np.flatnonzero(flags), ends)) > 0
 
 
 def leet_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -248,16 +249,15 @@ def leet_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edges = ends[:-1][ends[:-1] < ends[1:]]
     core[edges] = False
     core[ends[1:][ends[1:] > ends[:-1]] - 1] = False
-    if not core.any():
+    hits = np.flatnonzero(core)
+    if not len(hits):
         return raw[:0], np.zeros(len(ends), np.int64)
-    cut = b == 10
-    cut[ends[1:-1][ends[1:-1] < n]] = True
-    line = np.cumsum(cut)
-    keep = np.zeros(int(line[-1]) + 1, bool)
-    keep[line[core]] = True
-    kept = keep[line]
-    at = np.concatenate([[0], np.cumsum(kept)])
-    return raw[kept], at[ends]
+    starts = np.union1d(np.flatnonzero(b == 10), ends[:-1])  # a line begins with its line end, so that lines stay apart
+    starts = starts[starts < n]
+    line = np.unique(np.searchsorted(starts, hits, "right") - 1)
+    lo, hi = starts[line], np.append(starts, n)[line + 1]
+    total = np.concatenate([[0], np.cumsum(hi - lo)])
+    return np.concatenate([raw[i:k] for i, k in zip(lo, hi, strict=True)]), total[np.searchsorted(hi, ends, "right")]
 
 
 def clean_chunks(data: np.ndarray, ends: np.ndarray, words: Vocabulary, size: int = 1 << 20):
