@@ -24,10 +24,13 @@ COUNTED_FS_CALLS = [
 
 
 def once(df: DataFrame, row_id: str, order: Sequence[str]) -> DataFrame:
-    """One row per ``row_id`` (the first by ``order``): redelivered rows count once. Null ids are left out."""
+    """One row per ``row_id`` (the first by ``order``): redelivered rows count once. Null ids are left out.
+
+    Ids hardly repeat, so combining before the shuffle would only sort once more: the rows are shuffled by id first.
+    """
     columns = df.columns
     rest = [c for c in columns if c != row_id]
-    picked = df.filter(F.col(row_id).isNotNull()).groupBy(row_id).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
+    picked = df.filter(F.col(row_id).isNotNull()).repartition(row_id).groupBy(row_id).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__r"))
     return picked.select(row_id, "__r.*").select(*columns)
 
 
