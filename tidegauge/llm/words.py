@@ -125,14 +125,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     letter[128:] = True
     leet = lower.copy()
     for k, v in LEET.items():
-        if k.isdigit():
-            leet[ord(k)] = ord(v)
+        leet[ord(k)] = ord(v)
     return lower, letter, leet
 
 
 _LOWER, _LETTER, _LEET_MAP = _tables()
 _DIGIT = np.zeros(256, bool)
 _DIGIT[ord("0") : ord("9") + 1] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[ord(k) for k in LEET if not k.isdigit()]] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[ord("A") : ord("Z") + 1] = True
 
@@ -165,14 +166,37 @@ def _shrunk(b: np.ndarray, raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarra
     return b[keep], raw[keep], ends - np.searchsorted(np.flatnonzero(drop), ends)
 
 
+def lettered(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Signs that stand for letters: those before a letter, and all but ``!`` after one, with up to three more signs or digits between."""
+    n = len(raw)
+    sign = _SIGN[raw]
+    if not sign.any():
+        return sign
+    letter, between = _LETTER[_LOWER[raw]], sign | _DIGIT[raw]
+    first, last = np.ones(n + 1, bool), np.ones(n + 1, bool)
+    first[:n], last[:n] = False, False
+    first[ends[:-1]], last[ends[1:] - 1] = True, True  # texts don't touch
+    first, last = first[:n], last[:n]
+    before, after = np.zeros(n, bool), np.zeros(n, bool)
+    for _ in range(4):
+        before[:-1] = letter[1:] | (between[1:] & before[1:])
+        before[last] = False
+        after[1:] = letter[:-1] | (between[:-1] & after[:-1])
+        after[first] = False
+    return sign & (before | (after & (raw != ord("!"))))
+
+
 def hash_words(raw: np.ndarray, ends: np.ndarray, leet: bool = False, spell: bool = False) -> tuple:
     """Hashes of the words of a chunk and the number of words per text; with ``spell`` also the words themselves.
 
     Words are runs of letters (bytes of non-ASCII characters count as letters), cut before a capital that
     follows a small letter; lone letters but ``i`` and ``u``, and short
-    runs that touch a digit, are left out. With ``leet`` digits stand for letters, otherwise they separate words.
+    runs that touch a digit, are left out. With ``leet`` digits, and signs within or at words, stand for letters,
+    otherwise they separate words.
     """
     b = (_LEET_MAP if leet else _LOWER)[raw]
+    if leet:
+        b = np.where(_SIGN[raw] & ~lettered(raw, ends), raw, b)
     b, raw, ends = _shrunk(b, raw, ends)
     n = len(b)
     if n == 0:
@@ -181,7 +205,7 @@ def hash_words(raw: np.ndarray, ends: np.ndarray, leet: bool = False, spell: boo
     before = np.zeros(n, bool)
     before[1:] = letter[:-1]
     camel = np.zeros(n, bool)
-    camel[1:] = _UPPER[raw[1:]] & letter[:-1] & ~_UPPER[raw[:-1]] & ~_DIGIT[raw[:-1]]
+    camel[1:] = _UPPER[raw[1:]] & letter[:-1] & ~_UPPER[raw[:-1]] & ~_DIGIT[raw[:-1]] & ~_SIGN[raw[:-1]]
     first = np.zeros(n + 1, bool)
     first[ends] = True  # texts don't touch: here and below nothing looks across
     begins = np.flatnonzero(letter & (~before | camel | first[:n]))
@@ -237,7 +261,7 @@ def _any(flags: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def leet_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lines in which digits stand among letters (numbers in base 16 aside), as a chunk of its own."""
+    """The lines in which digits (or signs, see ``lettered``) stand among letters (numbers in base 16 aside), as a chunk of its own."""
     b = _LOWER[raw]
     n = len(b)
     if n < 3:
@@ -249,7 +273,7 @@ def leet_lines(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     edges = ends[:-1][ends[:-1] < ends[1:]]
     core[edges] = False
     core[ends[1:][ends[1:] > ends[:-1]] - 1] = False
-    hits = np.flatnonzero(core)
+    hits = np.flatnonzero(core | lettered(raw, ends))
     if not len(hits):
         return raw[:0], np.zeros(len(ends), np.int64)
     starts = np.union1d(np.flatnonzero(b == 10), ends[:-1])  # a line begins with its line end, so that lines stay apart
