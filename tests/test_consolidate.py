@@ -86,3 +86,16 @@ def test_empty(spark):
     listing, lines = tables(spark, FILES)
     assert C.consolidate(listing.limit(0), lines).count() == 0
     assert C.consolidate(listing, lines.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("partitions", ["2", "50"])
+def test_few_outputs_with_default_parameters(spark, partitions):
+    """6 MB of files in two targets: an output each, whatever the cluster's shuffle partitions."""
+    files = [(i, f"h{i}.map.1.{i}.jvm.{'read' if i % 2 else 'other'}.csv", 16_000, [HEAD, row(i), row(i + 5)]) for i in range(400)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        outputs = C.manifest(C.consolidate(*tables(spark, files))).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert sorted((m["target"], m["n_records"], m["n_inputs"]) for m in outputs) == [("jvm-other", 400, 200), ("jvm-read", 400, 200)]

@@ -127,13 +127,14 @@ def consolidate(
     Key ranges of about ``range_bytes`` are cut over (target, key, file, line), so even one key that holds a
     third of the records is split; a range is what one task holds in memory. Within a range the sorted runs of a
     target are merged by a heap, and an output is closed before it would exceed ``roll_bytes``.
+    The number of ranges follows from the bytes alone, not from the cluster's settings, so there are as few outputs as
+    ranges of that size and targets allow: one per target if all fit one range.
     Equal records stay as often as they are stored under different (file, line); a line stored twice counts
     once. No files, or files without records, give an empty result.
     """
     chosen = input_files(files, small_bytes)
     total = chosen.agg(F.sum("size_bytes")).first()[0] or 0
-    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_ranges = max(min(least, 1 + total // (1 << 20)), 1 + total // range_bytes)
+    n_ranges = 1 + total // range_bytes
     ranged = sorted_runs(chosen, lines, salts).repartitionByRange(n_ranges, "target", "sort_key", "file_id", "line_no")
     return ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_merge_range(roll_bytes), MERGED)
 
