@@ -41,7 +41,7 @@ def parse(line):
 
 
 @settings(max_examples=12, deadline=None)
-@given(st.lists(st.text(alphabet='ab",\r ', max_size=9), min_size=40, max_size=40))
+@given(st.lists(st.text(alphabet='ab",\r \ue000\uf8ff', max_size=9), min_size=40, max_size=40))
 def test_quoting_and_cells(spark, lines):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
     got = df.select("i", D.quoting_ok(F.col("line")).alias("ok"), D.cells_of(F.col("line")).alias("cells")).collect()
@@ -90,3 +90,29 @@ def test_empty(spark, lines):
     none = lines.limit(0)
     assert D.rejected_rows(D.records(none), D.agent_rules(none)).count() == 0
     assert D.accepted_rows(D.records(none), D.agent_rules(none), [("pid", "int")]).count() == 0
+
+
+def test_private_use_characters_and_long_quoted_values_stay(spark):
+    x, long = "\ue000\U000f0000", '""' * 200_000
+    rows = [(1, 1, "hostname,pid,key,filename"), (1, 2, f'"a{x}b",1,k{x}z,"/x,{x}y"'), (1, 3, f'h,1,k,"{long},"'), (1, 4, f'h,1,k,"{long}')]
+    df = spark.createDataFrame(rows, "file_id bigint, line_no int, line string")
+    types = [("hostname", "string"), ("key", "string"), ("filename", "string")]
+    got = {r["line_no"]: tuple(r)[2:] for r in D.accepted_rows(D.records(df), D.agent_rules(df), types).collect()}
+    assert got == {2: (f"a{x}b", f"k{x}z", f"/x,{x}y"), 3: ("h", "k", '"' * 200_000 + ",")}
+    assert [r["reasons"] for r in D.rejected_rows(D.records(df), D.agent_rules(df)).collect()] == ["broken quoting"]
+
+
+def test_lines_stored_twice_count_once(spark, lines):
+    twice = lines.unionByName(lines)
+    want = sorted(map(tuple, D.rejected_rows(D.records(lines), D.agent_rules(lines)).collect()))
+    assert sorted(map(tuple, D.rejected_rows(D.records(twice), D.agent_rules(lines)).collect())) == want
+    accepted = lambda df: sorted(map(str, D.accepted_rows(D.records(df), D.agent_rules(df), [("pid", "int")]).collect()))
+    assert accepted(twice) == accepted(lines)
+
+
+def test_a_long_file_is_cut_into_chunks(spark):
+    rows = [(1, 1, "hostname,pid"), *((1, i, f"h,{i if i % 9 else 'x'}") for i in range(2, 200)), (2, 1, "hostname"), (2, 70_000, "")]
+    df = spark.createDataFrame(rows, "file_id bigint, line_no int, line string")
+    got = D.rejected_rows(D.records(df, chunk_lines=7), D.agent_rules(df)).collect()
+    assert sorted(r["line_no"] for r in got if r["file_id"] == 1) == [i for i in range(2, 200) if i % 9 == 0]
+    assert D.records(df, chunk_lines=7).count() == 198
