@@ -69,10 +69,44 @@ def test_many_ranges_keep_every_record_once(spark):
 
 
 def test_written_files(spark, tmp_path):
-    merged = C.consolidate(*tables(spark, FILES))
-    C.write_consolidated(merged, str(tmp_path / "out"))
-    back = spark.read.text(str(tmp_path / "out"))
-    assert sorted(r["value"] for r in back.collect()) == sorted(r["record"] for r in merged.collect())
+    merged = C.consolidate(*tables(spark, FILES), roll_bytes=70)
+    listed = C.write_consolidated(merged, str(tmp_path / "out")).collect()
+    rows = merged.orderBy("out_file", "seq").collect()
+    assert {m["out_file"] for m in listed} == {r["out_file"] for r in rows} and len(listed) > 4
+    for m in listed:
+        own = [r["record"] for r in rows if r["out_file"] == m["out_file"]]
+        with open(m["path"].removeprefix("file:")) as f:
+            text = f.read()
+        assert text.splitlines() == [m["header"], *own]
+        assert m["file_bytes"] == len(text) == m["n_bytes"] + len(m["header"]) + 1
+    assert spark.read.text(str(tmp_path / "out")).count() == len(rows) + len(listed)
+    assert C.write_consolidated(merged.limit(0), str(tmp_path / "none")).count() == 0
+
+
+def test_outputs_have_one_header(spark):
+    other = HEAD + ",data"
+    files = [(i, f"h{i}.map.1.{i}.jvm.other.csv", 500, [HEAD if i % 2 else other, row(i) + ("" if i % 2 else ",1")]) for i in range(20)]
+    merged = C.consolidate(*tables(spark, files))
+    got = {(m["header"], m["n_records"]) for m in C.manifest(merged).collect()}
+    assert got == {(HEAD, 10), (other, 10)}
+
+
+def test_rolling_over_batches(spark):
+    """Many batches of Arrow rows: an output goes on from batch to batch and is as full as it may be."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        files = [(i, f"h{i}.map.1.{i}.jvm.other.csv", 500, [HEAD, *[row(100 + k, i) for k in range(9)]]) for i in range(30)]
+        merged = C.consolidate(*tables(spark, files), roll_bytes=1000).orderBy("out_file", "seq").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    outputs = {}
+    for r in merged:
+        outputs.setdefault(r["out_file"], []).append(r)
+    assert len(merged) == 270 and [r["seq"] for o in outputs.values() for r in o] == [i for o in outputs.values() for i in range(len(o))]
+    sizes = [sum(r["n_bytes"] for r in o) for o in outputs.values()]
+    assert all(950 < x <= 1000 for x in sizes[:-1])
+    keys = [(r["sort_key"], r["file_id"], r["line_no"]) for r in merged]
+    assert keys == sorted(keys)
 
 
 def test_lines_stored_twice(spark):

@@ -1,28 +1,34 @@
 """Consolidation of many tiny sorted files into few well-sized ones.
 
-Each input file is cut into runs that are already sorted. The runs of a target are range-partitioned by key,
-and per key range merged k ways; outputs are rolled by bytes, and a manifest keeps the key range of each.
+The records of a target are range-partitioned by key. Per range Spark's external sorter takes them as they come from the
+files, spills sorted runs and merges these k ways, so a task holds no range in memory; outputs are rolled by bytes while
+the merged stream passes, and a manifest keeps the key range of each.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.operators.delimited import cells_of, quoting_ok, records
-from tidegauge.operators.skew import SALTS
+from tidegauge.functions.shared import checkpointed
+from tidegauge.operators.delimited import CHUNK_LINES, cells_of, quoting_ok, records
 
 #: The file-name forms of the agents.
 _HEAD = r"^(?:[0-9]+-)?(.+\.[^.]+\.-?[0-9]+\.[0-9]+"
 STATS_NAME = _HEAD + r"\.(jvm|sfs)\.(read|write|other|zip)\.csv)\z"
 MAPPING_NAME = _HEAD + r"\.filedescriptormappings\.csv)\z"
 
-MERGED = "target string, out_file string, seq bigint, file_id bigint, line_no int, sort_key bigint, record string, n_bytes bigint"
+MERGED = (
+    "target string, out_file string, seq bigint, file_id bigint, line_no int, sort_key bigint, record string, n_bytes bigint, header string"
+)
+#: Bytes of an output, and of the key range that a task merges.
+ROLL_BYTES, RANGE_BYTES = 128 << 20, 512 << 20
 
 
 def input_files(files: DataFrame, small_bytes: int) -> DataFrame:
@@ -52,99 +58,103 @@ def input_files(files: DataFrame, small_bytes: int) -> DataFrame:
     )
 
 
-def sorted_runs(files: DataFrame, lines: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Records of the chosen files with their sort key and run.
+def keyed_records(files: DataFrame, lines: DataFrame, chunk_lines: int = CHUNK_LINES) -> DataFrame:
+    """Records of the chosen files with their sort key: ``(target, header, layout, sort_key, file_id, line_no, record)``.
 
-    ``(target, file_id, run, line_no, sort_key, record, n_bytes)``. The key is the file's key column as a
-    number, 0 where a broken record has none there. A line stored twice counts once. A run is a maximal stretch of a file whose keys
-    don't fall; files are small (see ``input_files``), so the window over a file is bounded.
+    The key is the file's key column as a number, 0 where a broken record has none there. ``layout`` is the hash of target
+    and header: records meet only records of the same columns.
     """
-    wanted = records(lines, files.select("file_id", "target", "key_column"), salts)
+    wanted = records(lines, files.select("file_id", "target", "key_column"), chunk_lines)
     cells = F.when(quoting_ok(F.col("record")), cells_of(F.col("record")))
-    key = F.get(cells, F.array_position(cells_of(F.col("header")), F.col("key_column")).cast("int") - 1)
-    keyed = wanted.select(
-        "target", "file_id", "line_no", F.coalesce(key.try_cast("bigint"), F.lit(0)).alias("sort_key"), "record",
-        (F.octet_length("record") + 1).cast("bigint").alias("n_bytes"),
+    key = F.get(cells, F.array_position("names", F.col("key_column")).cast("int") - 1)
+    return wanted.select(
+        "target", "header", F.xxhash64("target", "header").alias("layout"), F.coalesce(key.try_cast("bigint"), F.lit(0)).alias("sort_key"),
+        "file_id", "line_no", "record",
     )
-    in_file = Window.partitionBy("file_id").orderBy("line_no", "record")
-    again = F.coalesce(F.lag("line_no").over(in_file) == F.col("line_no"), F.lit(False))
-    falls = F.coalesce((F.col("sort_key") < F.lag("sort_key").over(in_file)).cast("int"), F.lit(0))
-    cut = keyed.withColumns({"again": again, "falls": falls}).withColumn("run", F.sum("falls").over(in_file))
-    return cut.filter(~F.col("again")).drop("again", "falls")
 
 
-def _merge_range(roll_bytes: int):
-    order = itemgetter(0, 1, 2)  # sort_key, file_id, line_no
+def _rolled(roll_bytes: int):
+    """Cut the merged stream of a range into outputs; what is kept between batches is the last line and a few counters."""
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[tuple, list[tuple]] = {}
-        part = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        numbers: dict[str, int] = {}
+        last: tuple | None = None  # (file, line, record): a line stored twice follows itself
+        group: tuple[str, str] | None = None
+        name, held, seq = "", 0, 0
         for b in batches:
-            d = b.to_pydict()
-            part = d["part"][0] if d["part"] else part
-            for t, f, r, n, k, rec, size in zip(
-                d["target"], d["file_id"], d["run"], d["line_no"], d["sort_key"], d["record"], d["n_bytes"], strict=True
-            ):
-                runs.setdefault((t, f, r), []).append((k, f, n, rec, size))
-        by_target: dict[str, list[list[tuple]]] = {}
-        for (t, _, _), rows in runs.items():
-            rows.sort(key=itemgetter(2))  # the shuffle mixes the lines of a run; in line order it is sorted by key
-            by_target.setdefault(t, []).append(rows)
-        for t in sorted(by_target):
-            out: list[tuple] = []
-            number, held, seq = 0, 0, 0
-            for k, f, n, rec, size in heapq.merge(*by_target[t], key=order):
-                if held and held + size > roll_bytes:
-                    number, held, seq = number + 1, 0, 0
-                held += size
-                out.append((t, f"{t}-{part:05d}-{number:03d}", seq, f, n, k, rec, size))
-                seq += 1
-                if len(out) >= 8192:
-                    yield _batch(out)
-                    out = []
-            if out:
-                yield _batch(out)
-
-    return merge
-
-
-_ARROW = pa.schema(
-    [("target", pa.string()), ("out_file", pa.string()), ("seq", pa.int64()), ("file_id", pa.int64()), ("line_no", pa.int32()),
-     ("sort_key", pa.int64()), ("record", pa.string()), ("n_bytes", pa.int64())]
-)
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW.types, strict=True)], schema=_ARROW)
+            if not b.num_rows:
+                continue
+            file, line = (b.column(c).to_numpy(zero_copy_only=False) for c in ("file_id", "line_no"))
+            record = b.column("record")
+            same = np.zeros(len(file), bool)
+            same[1:] = (file[1:] == file[:-1]) & (line[1:] == line[:-1])
+            for i in np.flatnonzero(same):
+                same[i] = record[i].equals(record[i - 1])
+            same[0] = last == (file[0], line[0], record[0].as_py())
+            last = (file[-1], line[-1], record[-1].as_py())
+            if same.any():
+                b = b.filter(pa.array(~same))
+                if not b.num_rows:
+                    continue
+            n = b.num_rows
+            sizes = pc.add(pc.binary_length(b.column("record")).cast(pa.int64()), 1).to_numpy(zero_copy_only=False)
+            grown = np.concatenate([[0], np.cumsum(sizes)])
+            layout = b.column("layout").to_numpy(zero_copy_only=False)
+            borders = [0, *(np.flatnonzero(layout[1:] != layout[:-1]) + 1).tolist(), n]
+            names, runs, seqs = [], [], []
+            for i, j in zip(borders, borders[1:]):
+                own = (b.column("target")[i].as_py(), b.column("header")[i].as_py())
+                if own != group:
+                    group, name = own, ""
+                while i < j:
+                    k = int(np.searchsorted(grown, grown[i] + roll_bytes - held, "right")) - 1 if name else i
+                    if k <= i:  # the next record would exceed the output, or there is none yet
+                        numbers[own[0]] = number = numbers.get(own[0], -1) + 1
+                        name, held, seq = f"{own[0]}-{part:05d}-{number:03d}", 0, 0
+                        k = max(i + 1, int(np.searchsorted(grown, grown[i] + roll_bytes, "right")) - 1)
+                    k = min(k, j)
+                    names.append(name)
+                    runs.append(k - i)
+                    seqs.append(np.arange(seq, seq + k - i))
+                    held, seq, i = held + int(grown[k] - grown[i]), seq + k - i, k
+            out = pa.DictionaryArray.from_arrays(np.repeat(np.arange(len(names), dtype=np.int32), runs), pa.array(names, pa.string())).dictionary_decode()
+            yield pa.RecordBatch.from_arrays(
+                [b.column("target"), out, pa.array(np.concatenate(seqs)), b.column("file_id"), b.column("line_no"), b.column("sort_key"), b.column("record"),
+                 pa.array(sizes), b.column("header")],
+                names=["target", "out_file", "seq", "file_id", "line_no", "sort_key", "record", "n_bytes", "header"],
+            )
+
+    return run
 
 
 def consolidate(
-    files: DataFrame, lines: DataFrame, small_bytes: int = 16384, roll_bytes: int = 128 << 20, range_bytes: int = 64 << 20,
-    salts: int = SALTS,
+    files: DataFrame, lines: DataFrame, small_bytes: int = 16384, roll_bytes: int = ROLL_BYTES, range_bytes: int = RANGE_BYTES,
+    chunk_lines: int = CHUNK_LINES,
 ) -> DataFrame:
-    """All records of the small files, merged: ``(target, out_file, seq, file_id, line_no, sort_key, record, n_bytes)``.
+    """All records of the small files, merged: ``(target, out_file, seq, file_id, line_no, sort_key, record, n_bytes, header)``.
 
-    Key ranges of about ``range_bytes`` are cut over (target, key, file, line), so even one key that holds a
-    third of the records is split; a range is what one task holds in memory. Within a range the sorted runs of a
-    target are merged by a heap, and an output is closed before it would exceed ``roll_bytes``.
-    The number of ranges follows from the bytes alone, not from the cluster's settings, so there are as few outputs as
-    ranges of that size and targets allow: one per target if all fit one range.
+    Key ranges of about ``range_bytes`` are cut over (target and header, key, file, line), so even one key that holds a third of
+    the records is split. The range's records are sorted externally and streamed; an output is closed before it would exceed
+    ``roll_bytes`` (a longer record has one of its own) and where the header changes, so each output has one header.
+    The number of ranges follows from the bytes alone, not from the cluster's settings: one output per target if all are small.
     Equal records stay as often as they are stored under different (file, line); a line stored twice counts
     once. No files, or files without records, give an empty result.
     """
     chosen = input_files(files, small_bytes)
     total = chosen.agg(F.sum("size_bytes")).first()[0] or 0
     n_ranges = 1 + total // range_bytes
-    ranged = sorted_runs(chosen, lines, salts).repartitionByRange(n_ranges, "target", "sort_key", "file_id", "line_no")
-    return ranged.withColumn("part", F.spark_partition_id()).mapInArrow(_merge_range(roll_bytes), MERGED)
+    order = ["layout", "sort_key", "file_id", "line_no", "record"]
+    ranged = keyed_records(chosen, lines, chunk_lines).repartitionByRange(n_ranges, *order[:-1]).sortWithinPartitions(*order)
+    return ranged.mapInArrow(_rolled(roll_bytes), MERGED)
 
 
 def manifest(merged: DataFrame) -> DataFrame:
-    """Range metadata per output: ``(target, out_file, first_key, last_key, n_records, n_bytes, n_inputs)``."""
-    per_input = merged.groupBy("target", "out_file", "file_id").agg(
+    """Range metadata per output: ``(target, out_file, header, first_key, last_key, n_records, n_bytes, n_inputs)``."""
+    per_input = merged.groupBy("target", "out_file", "header", "file_id").agg(
         F.min("sort_key").alias("lo"), F.max("sort_key").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("b")
     )
-    return per_input.groupBy("target", "out_file").agg(
+    return per_input.groupBy("target", "out_file", "header").agg(
         F.min("lo").alias("first_key"), F.max("hi").alias("last_key"), F.sum("n").alias("n_records"), F.sum("b").alias("n_bytes"),
         F.count(F.lit(1)).alias("n_inputs"),
     )
@@ -155,11 +165,37 @@ def taken_in(merged: DataFrame) -> DataFrame:
     return merged.select("target", "file_id").distinct()
 
 
-def write_consolidated(merged: DataFrame, path: str) -> None:
-    """Write one text file per output below ``path/target=.../out_file=...``, records in merged order."""
+def _with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(target, out_file, seq, value)``: the header before the first record of each output."""
+    names = ["target", "out_file", "seq", "value"]
+    for b in batches:
+        first = b.filter(pc.equal(b.column("seq"), 0))
+        if first.num_rows:
+            before = pa.array(np.full(first.num_rows, -1, np.int64))
+            yield pa.RecordBatch.from_arrays([first.column("target"), first.column("out_file"), before, first.column("header")], names=names)
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("target", "out_file", "seq", "record")], names=names)
+
+
+def write_consolidated(merged: DataFrame, path: str) -> DataFrame:
+    """Write one text file per output below ``path/target=.../out_file=...`` and the manifest to ``path/_manifest``, which is returned.
+
+    An output is its header and its records in merged order. The merged rows are kept in the shared folder once, so that outputs
+    and manifest describe the same ranges; an output is written by the task that merged it. The manifest has the path and
+    length of the written file besides the range metadata.
+    """
+    kept = checkpointed(merged)
+    spark = kept.sparkSession
     (
-        merged.repartition("target", "out_file")
+        kept.mapInArrow(_with_header, "target string, out_file string, seq bigint, value string")
         .sortWithinPartitions("target", "out_file", "seq")
-        .select("target", "out_file", F.col("record").alias("value"))
+        .select("target", "out_file", "value")
         .write.mode("overwrite").partitionBy("target", "out_file").text(path)
     )
+    if not kept.isEmpty():
+        written = spark.read.format("binaryFile").option("basePath", path).option("recursiveFileLookup", True).load(path).select(
+            F.regexp_extract("path", r"/out_file=([^/]+)/", 1).alias("out_file"), "path", F.col("length").alias("file_bytes")
+        )
+        manifest(kept).join(written, "out_file").write.mode("overwrite").parquet(f"{path}/_manifest")
+    else:
+        manifest(kept).withColumns({"path": F.lit(""), "file_bytes": F.lit(0).cast("bigint")}).write.mode("overwrite").parquet(f"{path}/_manifest")
+    return spark.read.parquet(f"{path}/_manifest")

@@ -146,6 +146,12 @@ rec AS (SELECT b.target, l.file_id, l.line_no, l.line, hd.header FROM l JOIN hd
     WHERE b.rn = 1 AND b.size_bytes < 16384 AND l.line_no > 1 AND trim(l.line, ' ' || chr(9) || chr(10) || chr(13)) <> '' AND l.line <> hd.header)
 """
 
+_P2_KEYS = r""", cells AS (SELECT target, header, file_id, strlen(line) + 1 AS n, coalesce(TRY_CAST(trim(list_extract(
+    regexp_extract_all(',' || CASE WHEN regexp_full_match(line, '(?s:("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*)') THEN line ELSE '' END,
+    '(?s:,("(?:[^"]|"")*"|[^",]*))', 1),
+    list_position(string_split(header, ','), CASE WHEN target = 'filedescriptormappings' THEN 'fileDescriptor' ELSE 'timeBin' END)), '"') AS BIGINT), 0) AS k FROM rec)
+"""
+
 _P3 = r"""
 WITH l AS (SELECT DISTINCT file_id, line_no, regexp_replace(line, '\r$', '') AS line FROM raw_line),
 hd AS (SELECT file_id, string_split(line, ',') AS names, line AS header FROM l WHERE line_no = 1),
@@ -201,12 +207,14 @@ ORACLE_SQL = {
          count(DISTINCT ref_id) AS n_orphans FROM o WHERE NOT coalesce(in_use, false) GROUP BY ALL""",
     "p2_found": _P2 + "SELECT DISTINCT target, file_id FROM rec",
     "p2_target_totals": _P2
-    + r""", cells AS (SELECT target, strlen(line) + 1 AS n, coalesce(TRY_CAST(trim(list_extract(
-            regexp_extract_all(',' || CASE WHEN regexp_full_match(line, '(?s:("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*)') THEN line ELSE '' END,
-            '(?s:,("(?:[^"]|"")*"|[^",]*))', 1),
-            list_position(string_split(header, ','), CASE WHEN target = 'filedescriptormappings' THEN 'fileDescriptor' ELSE 'timeBin' END)), '"') AS BIGINT), 0) AS k FROM rec)
-       SELECT target, CAST(count(*) AS BIGINT) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes, min(k) AS first_key, max(k) AS last_key
+    + _P2_KEYS
+    + """SELECT target, CAST(count(*) AS BIGINT) AS n_records, CAST(sum(n) AS BIGINT) AS n_bytes, min(k) AS first_key, max(k) AS last_key
        FROM cells GROUP BY target""",
+    # below 128 MiB a target and 512 MiB in all there is one range and one output per target (whose files have one header)
+    "p2_manifest": _P2
+    + _P2_KEYS
+    + """SELECT target, target || '-00000-000' AS out_file, header, min(k) AS first_key, max(k) AS last_key, CAST(count(*) AS BIGINT) AS n_records,
+       CAST(sum(n) AS BIGINT) AS n_bytes, count(DISTINCT file_id) AS n_inputs FROM cells GROUP BY target, header""",
     "p3_found": _P3 + "SELECT DISTINCT file_id, line_no FROM bad",
     "p3_rejected": _P3
     + "SELECT file_id, line_no, count(*) AS n_errors, string_agg(DISTINCT why, '; ' ORDER BY why) AS reasons FROM bad GROUP BY ALL",
