@@ -1,6 +1,7 @@
 """Regular grids against an independent monotone cubic interpolation."""
 
 import random
+import re
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -38,9 +39,9 @@ def slopes(x, y):
 
 
 def expected(knots, max_fill):
-    """{period: (status, value)} from {period: value}."""
+    """{period: (status, value)} from {period: (time in periods, value)}."""
     ps = sorted(knots)
-    out = {p: ("observed", knots[p]) for p in ps}
+    out = {p: ("observed", knots[p][1]) for p in ps}
     segments, cur = [], [ps[0]]
     for a, b in zip(ps, ps[1:]):
         if b - a - 1 > max_fill:
@@ -52,7 +53,7 @@ def expected(knots, max_fill):
     for seg in [*segments, cur]:
         if len(seg) < 2:
             continue
-        x, y = np.array(seg, float), np.array([knots[p] for p in seg], float)
+        x, y = np.array([knots[p][0] for p in seg]), np.array([knots[p][1] for p in seg], float)
         d = slopes(x, y)
         for i in range(len(seg) - 1):
             h = x[i + 1] - x[i]
@@ -73,9 +74,9 @@ def test_against_plain_interpolation(spark, shard):
         for _ in range(60):
             p += rng.choice((1, 1, 1, 2, 3, 4, 6, 20))
             v = rng.choice((0, 5, 5, 100, rng.randrange(1000), -1))
-            t = start + p * period + rng.randrange(period // 2)
-            knots[series][p] = (start, period, max(v, 0))
             unit = rng.choice((1, 1000, 1_000_000))
+            t = (start + p * period + rng.randrange(period)) // unit * unit
+            knots[series][p] = (start, period, ((t - start) / period, max(v, 0)))
             row = (len(rows), series, t // unit, v, when(t + 10**9))
             rows += [row] * rng.choice((1, 1, 2))
     rng.shuffle(rows)
@@ -116,3 +117,31 @@ def test_a_long_gap_is_marked_whole(spark):
     rows = [(1, 1, t, 7, when(t)), (2, 1, t + 25_001 * 10**9, 8, when(t + 25_002 * 10**9))]
     grid = G.regular_grid(spark.createDataFrame(rows, READINGS), spark.createDataFrame([(1, 10**9)], "series_id bigint, period_ns bigint"))
     assert tuple(G.coverage(grid).first()) == (1, 2, 0, 25_000)
+
+
+def test_readings_count_at_their_own_times(spark):
+    """A straight line read at any time within its periods stays that line."""
+    t = BASE - BASE % 10**9
+    times = [int(x * 10**9) for x in (0.9, 3.1, 4.95, 8.0, 11.5)]
+    rows = [(i, 1, t + x, x // 10**6, when(t + x)) for i, x in enumerate(times)]
+    grid = G.regular_grid(spark.createDataFrame(rows, READINGS), spark.createDataFrame([(1, 10**9)], "series_id bigint, period_ns bigint"), shard_periods=3)
+    got = {(r["period_start"] - t) // 10**9: r["value"] for r in grid.filter("status = 'interpolated'").collect()}
+    assert sorted(got) == [1, 2, 5, 6, 7, 9, 10] and all(abs(v - 1000 * p) < 1e-6 for p, v in got.items())
+
+
+def test_a_long_series_spreads_over_tasks(spark):
+    df = spark.range(40_000).select(
+        F.col("id").alias("reading_id"), F.lit(1).cast("bigint").alias("series_id"), (F.col("id") * 10**9 + BASE).alias("startTime"), F.lit(5).cast("bigint").alias("length"),
+        F.lit(when(2 * BASE)).cast("timestamp_ntz").alias("received_ts"),
+    )
+    grid = G.regular_grid(df.filter("reading_id % 7 > 0 or reading_id = 0"), spark.createDataFrame([(1, 10**9)], "series_id bigint, period_ns bigint"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = grid.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        text = grid._sc._jvm.PythonSQLUtils.explainString(grid._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(r["count"] for r in tasks) == 40_000 and len(tasks) >= 4 and max(r["count"] for r in tasks) < 30_000
+    by_series = re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\(series_id#\d+L?, \d+\)", text)
+    assert by_series and all(columns.count("first") == 1 and columns.count("last") == 1 for columns in by_series)  # a row per shard, not per reading
+    assert "ReusedExchange" in text and "collect_list" not in text

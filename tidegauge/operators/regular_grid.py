@@ -1,8 +1,8 @@
 """Irregular readings onto a regular grid: one entry per source and period.
 
-Short gaps are filled by shape-preserving monotone cubic interpolation (Fritsch-Carlson slopes); long gaps stay
-marked and end a segment. The series are cut into time shards; neighbouring shards exchange their outermost
-readings as a halo, so a long series is no single task's work.
+Short gaps are filled by shape-preserving monotone cubic interpolation (Fritsch-Carlson slopes) through the readings at
+their own times; long gaps stay marked and end a segment. The series are cut into time shards. Shards exchange their
+outermost readings only: one slim row per shard, from which each gets its halo. A long series is no single task's work.
 """
 
 from __future__ import annotations
@@ -34,17 +34,45 @@ def usable_readings(readings: DataFrame, end_of_file: int = -1) -> DataFrame:
 
 
 def knots(readings: DataFrame, series: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``(series_id, period_ns, period_start, v)``: the last usable reading of each period that has one.
+    """``(series_id, period_ns, period_start, t, v)``: the last usable reading of each period that has one, with its time.
 
     Repeated readings don't change it. Series without a positive period, and readings of unknown series,
-    have no grid.
+    have no grid. Readings are combined before the shuffle, so a period of very many readings does no harm.
     """
     periods = series.filter(F.col("series_id").isNotNull() & (F.col("period_ns") > 0)).groupBy("series_id").agg(
         F.min("period_ns").alias("period_ns")
     )
     joined = salted_join(usable_readings(readings), periods, ["series_id"], ["reading_id", "t"], salts)
-    return joined.groupBy("series_id", "period_ns", floor_to(F.col("t"), F.col("period_ns")).alias("period_start")).agg(
-        F.max_by("v", F.struct("t", "reading_id", "v")).alias("v")
+    last = joined.groupBy("series_id", "period_ns", floor_to(F.col("t"), F.col("period_ns")).alias("period_start")).agg(
+        F.max(F.struct("t", "reading_id", "v")).alias("k")
+    )
+    return last.select("series_id", "period_ns", "period_start", "k.t", "k.v")
+
+
+def with_neighbours(k: DataFrame, shard_periods: int = SHARD_PERIODS) -> DataFrame:
+    """``(series_id, period_ns, k0, k1, k2, k3)`` per row of ``knots``: the knot ``k1``, the one before and the two after it as ``(x, t, y)``.
+
+    Neighbours are found within time shards of at most ``shard_periods`` knots. Shards exchange their outermost knots only: one
+    slim row of three knots each, from which a shard's first and last knots get their neighbours (null where the series ends).
+    """
+    shard = F.coalesce(F.floor(F.col("period_start") / F.col("period_ns") / shard_periods), F.lit(0)).alias("shard")
+    cut = k.select("series_id", "period_ns", shard, "period_start", F.struct(F.col("period_start").alias("x"), "t", F.col("v").alias("y")).alias("k1"))
+    inside = Window.partitionBy("series_id", "shard").orderBy("period_start")
+    own = cut.select(
+        "series_id", "shard", "period_ns", "k1", F.lag("k1").over(inside).alias("b"), F.lead("k1").over(inside).alias("c1"), F.lead("k1", 2).over(inside).alias("c2")
+    )
+    is_first, is_last = F.col("b").isNull(), F.col("c1").isNull()
+    edges = own.filter(is_first | is_last).groupBy("series_id", "shard").agg(
+        F.max(F.when(is_first, F.col("k1"))).alias("first"), F.max(F.when(is_first, F.col("c1"))).alias("second"), F.max(F.when(is_last, F.col("k1"))).alias("last")
+    )
+    along = Window.partitionBy("series_id").orderBy("shard")
+    halo = edges.select(
+        "series_id", "shard", F.lag("last").over(along).alias("before"), F.lead("first").over(along).alias("after1"),
+        F.coalesce(F.lead("second").over(along), F.lead("first", 2).over(along)).alias("after2"),
+    )
+    return own.join(halo, ["series_id", "shard"]).select(
+        "series_id", "period_ns", F.coalesce("b", "before").alias("k0"), "k1", F.coalesce("c1", "after1").alias("k2"),
+        F.coalesce("c2", F.when(is_last, F.col("after2")).otherwise(F.col("after1"))).alias("k3"),
     )
 
 
@@ -67,42 +95,18 @@ def regular_grid(
     """The regular series: ``(series_id, period_start, status, value)``.
 
     Every period between the first and the last with a usable reading has one row: ``observed`` with the
-    period's reading, ``interpolated`` in gaps of at most ``max_fill`` periods, ``gap`` (value null) in
-    longer ones. Slopes never look across a long gap. Empty tables give no rows; a series with one usable
-    period gives that period.
+    period's last reading, ``interpolated`` in gaps of at most ``max_fill`` periods, with the value that the curve through the
+    readings, each at its own time, has at the period's start, ``gap`` (value null) in longer ones. Slopes never look across
+    a long gap. Empty tables give no rows; a series with one usable period gives that period.
     """
-    k = knots(readings, series, salts).withColumn("shard", F.floor(F.col("period_start") / F.col("period_ns") / shard_periods))
-    # at most shard_periods knots per (series, shard): the array is bounded
-    shards = k.groupBy("series_id", "period_ns", "shard").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("period_start").alias("x"), F.col("v").alias("y")))).alias("own")
-    )
-    along = Window.partitionBy("series_id").orderBy("shard")
-    none = F.expr("cast(array() as array<struct<x: bigint, y: double>>)")
-    before = F.coalesce(F.slice(F.lag("last1").over(along), 1, 1), none)
-    after = F.slice(
-        F.concat(F.coalesce(F.lead("first2", 1).over(along), none), F.coalesce(F.lead("first2", 2).over(along), none)), 1, 2
-    )
-    halo = (
-        shards.withColumn("first2", F.slice("own", 1, 2))
-        .withColumn("last1", F.slice("own", -1, 1))
-        .withColumn("before", before)
-        .withColumn("after", after)
-    )
-    n0 = F.size("before")
-    spans = halo.select(
-        "series_id", "period_ns", n0.alias("n0"), F.size("own").alias("n"), F.concat("before", "own", "after").alias("a")
-    ).select("series_id", "period_ns", "a", F.explode(F.sequence(F.col("n0"), F.col("n0") + F.col("n") - 1)).alias("i"))
-    at = lambda off: F.get("a", F.col("i") + off)
-    pts = spans.select(
-        "series_id", F.col("period_ns").alias("p"),
-        at(-1)["x"].alias("x0"), at(-1)["y"].alias("y0"), at(0)["x"].alias("x1"), at(0)["y"].alias("y1"),
-        at(1)["x"].alias("x2"), at(1)["y"].alias("y2"), at(2)["x"].alias("x3"), at(2)["y"].alias("y3"),
+    pts = with_neighbours(knots(readings, series, salts), shard_periods).select(
+        "series_id", F.col("period_ns").alias("p"), *[F.col(f"k{i}.{c}").alias(f"{c}{i}") for i in range(4) for c in "xty"]
     ).withColumn("missing", F.coalesce(F.try_divide(F.col("x2") - F.col("x1"), F.col("p")).cast("bigint") - 1, F.lit(0)))
     observed = pts.select("series_id", F.col("x1").alias("period_start"), F.lit("observed").alias("status"), F.col("y1").alias("value"))
 
     reach = (F.lit(max_fill) + 1) * F.col("p")
     unit = lambda c: c.cast("double") / F.col("p")  # noqa: E731  in periods, so that no power of ns overflows
-    h0, h1, h2 = unit(F.col("x1") - F.col("x0")), unit(F.col("x2") - F.col("x1")), unit(F.col("x3") - F.col("x2"))
+    h0, h1, h2 = unit(F.col("t1") - F.col("t0")), unit(F.col("t2") - F.col("t1")), unit(F.col("t3") - F.col("t2"))
     has0 = F.coalesce(F.col("x1") - F.col("x0") <= reach, F.lit(False))
     has3 = F.coalesce(F.col("x3") - F.col("x2") <= reach, F.lit(False))
     m0, m1, m2 = (F.col("y1") - F.col("y0")) / h0, (F.col("y2") - F.col("y1")) / h1, (F.col("y3") - F.col("y2")) / h2
@@ -116,12 +120,12 @@ def regular_grid(
     curves = (
         gaps.select("*", h0.alias("h0"), h1.alias("h1"), h2.alias("h2"), has0.alias("has0"), has3.alias("has3"), m0.alias("m0"),
                     m1.alias("m1"), m2.alias("m2"))
-        .select("series_id", "p", "x1", "y1", "y2", "missing", "h1", d1.alias("d1"), d2.alias("d2"))
+        .select("series_id", "p", "x1", "t1", "y1", "y2", "missing", "h1", d1.alias("d1"), d2.alias("d2"))
     )
     # a gap of any length is unrolled in chunks, so that no array grows with it
     chunked = curves.withColumn("c", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("missing"), F.lit(_CHUNK).cast("bigint"))))
     steps = chunked.withColumn("j", F.explode(F.sequence(F.col("c"), F.least(F.col("missing"), F.col("c") + (_CHUNK - 1)))))
-    s = F.col("j") / F.col("h1")
+    s = unit(F.col("x1") + F.col("j") * F.col("p") - F.col("t1")) / F.col("h1")
     value = (
         (2 * s * s * s - 3 * s * s + 1) * F.col("y1")
         + (s * s * s - 2 * s * s + s) * F.col("h1") * F.col("d1")

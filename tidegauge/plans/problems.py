@@ -81,7 +81,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_grid(spark: SparkSession, d: str) -> DataFrame:
-    return _grid(spark, d)
+    rounded = F.round("value", 3)
+    return _grid(spark, d).withColumn("value", F.when(rounded == 0, 0.0).otherwise(rounded))
 
 
 def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -197,6 +198,33 @@ g AS (SELECT series_id, p, unnest(range(lo, hi + p, p)) AS period_start FROM b),
 m AS (SELECT g.series_id, g.period_start FROM g ANTI JOIN u ON u.series_id = g.series_id AND u.period_start = g.period_start)
 """
 
+_H0, _H1, _H2 = (f"(CAST(t{i + 1} - t{i} AS DOUBLE) / p)" for i in range(3))
+_END = lambda h0, h1, m0, m1: (  # noqa: E731  slope at the end of a segment
+    f"(SELECT CASE WHEN sign(d) <> sign({m0}) THEN 0.0 WHEN sign({m0}) <> sign({m1}) AND abs(d) > abs({m0}) * 3 THEN {m0} * 3 ELSE d END "
+    f"FROM (SELECT (({h0} * 2 + {h1}) * {m0} - {h0} * {m1}) / ({h0} + {h1}) AS d))"
+)
+_MID = lambda h0, h1, m0, m1: (
+    f"CASE WHEN {m0} * {m1} <= 0 THEN 0.0 ELSE ({h1} * 2 + {h0} + ({h1} + {h0} * 2)) / (({h1} * 2 + {h0}) / {m0} + ({h1} + {h0} * 2) / {m1}) END"
+)
+_P4_GRID = (
+    _P4
+    + f""", k AS (SELECT r.series_id, s.period_ns AS p, CAST(t - t % s.period_ns AS BIGINT) AS x, CAST(t AS BIGINT) AS t, CAST(v AS DOUBLE) AS y FROM r
+      JOIN op_series s USING (series_id) WHERE t <= rx QUALIFY row_number() OVER (PARTITION BY series_id, x ORDER BY t DESC, reading_id DESC, v DESC) = 1),
+    n AS (SELECT series_id, p, x AS x1, t AS t1, y AS y1, lag(x) OVER w AS x0, lag(t) OVER w AS t0, lag(y) OVER w AS y0, lead(x) OVER w AS x2, lead(t) OVER w AS t2,
+      lead(y) OVER w AS y2, lead(x, 2) OVER w AS x3, lead(t, 2) OVER w AS t3, lead(y, 2) OVER w AS y3 FROM k WINDOW w AS (PARTITION BY series_id ORDER BY x)),
+    g2 AS (SELECT *, (x2 - x1) // p - 1 AS missing, coalesce(x1 - x0 <= 13 * p, false) AS has0, coalesce(x3 - x2 <= 13 * p, false) AS has3, {_H0} AS h0, {_H1} AS h1, {_H2} AS h2
+      FROM n WHERE x2 - x1 > p),
+    sl AS (SELECT *, (y1 - y0) / h0 AS m0, (y2 - y1) / h1 AS m1, (y3 - y2) / h2 AS m2 FROM g2),
+    dd AS (SELECT *, CASE WHEN has0 THEN {_MID('h0', 'h1', 'm0', 'm1')} WHEN has3 THEN {_END('h1', 'h2', 'm1', 'm2')} ELSE m1 END AS d1,
+      CASE WHEN has3 THEN {_MID('h1', 'h2', 'm1', 'm2')} WHEN has0 THEN {_END('h1', 'h0', 'm1', 'm0')} ELSE m1 END AS d2 FROM sl),
+    st AS (SELECT *, unnest(range(x1 + p, x2, p)) AS period_start FROM dd),
+    ev AS (SELECT *, CAST(period_start - t1 AS DOUBLE) / p / h1 AS s FROM st),
+    f AS (SELECT series_id, period_start, missing <= 12 AS short, round((2 * s * s * s - 3 * s * s + 1) * y1 + (s * s * s - 2 * s * s + s) * h1 * d1
+      + (3 * s * s - 2 * s * s * s) * y2 + (s * s * s - s * s) * h1 * d2, 3) AS v FROM ev)
+    SELECT series_id, x AS period_start, 'observed' AS status, y AS value FROM k
+    UNION ALL SELECT series_id, period_start, CASE WHEN short THEN 'interpolated' ELSE 'gap' END, CASE WHEN short THEN CASE WHEN v = 0 THEN 0.0 ELSE v END END FROM f"""
+)
+
 _HOST = _host("hostname")
 
 ORACLE_SQL = {
@@ -226,6 +254,7 @@ ORACLE_SQL = {
     + """, gaps AS (SELECT series_id, p, (lead(period_start) OVER (PARTITION BY series_id ORDER BY period_start) - period_start) // p - 1 AS n FROM u)
        SELECT series_id, count(*) AS n_observed, CAST(coalesce(sum(n) FILTER (n <= 12), 0) AS BIGINT) AS n_filled,
               CAST(coalesce(sum(n) FILTER (n > 12), 0) AS BIGINT) AS n_marked FROM gaps GROUP BY ALL""",
+    "p4_grid": _P4_GRID,
     "p5_found": f"""WITH n AS (SELECT count(*) AS n FROM io_event)
        SELECT 'fd' AS field, CAST(fd AS VARCHAR) AS val FROM io_event WHERE fd IS NOT NULL GROUP BY fd
        HAVING count(*) >= 0.02 * (SELECT n FROM n)
