@@ -29,8 +29,8 @@ def found(spark, refs, parents, **kw):
     return sorted(map(tuple, O.orphans(r, keyed, ["k", "n"], **kw).collect()), key=str)
 
 
-@pytest.mark.parametrize("support", [0.9, 0.2, 0.01])
-def test_against_brute_force(spark, support):
+@pytest.mark.parametrize(("task_rows", "buckets"), [(10**6, 1 << 20), (120, 1 << 20), (20, 1 << 20), (2, 1 << 20), (5, 2)])
+def test_against_brute_force(spark, task_rows, buckets):
     rng = random.Random(3)
     keys = [("a", 1)] * 5 + [("a", 2), ("b", 1), ("c", 3), (None, 1), ("d", None)]
     parents, refs = [], []
@@ -45,7 +45,7 @@ def test_against_brute_force(spark, support):
         refs.append((rng.choice("xy"), i, k, n, at, None if at is None else at + rng.choice((0, 0, 9))))
     refs += refs[:20]
     ends = [(k, n, s, 2**63 - 1 if e is None else e) for k, n, s, e in parents if e is None or s < e]
-    assert found(spark, refs, parents, shard_ns=20, support=support) == brute(refs, ends)
+    assert found(spark, refs, parents, shard_ns=20, task_rows=task_rows, buckets=buckets) == brute(refs, ends)
 
 
 def test_empty_sides(spark):
@@ -75,3 +75,32 @@ def test_descriptors(spark):
     assert sorted(map(tuple, O.distinct_orphans(got).collect())) == [("io_event", 4), ("op_stats", 8), ("op_stats", 9)]
     counts = {(r["ref_table"], r["period"], r["reason"]): r["n_orphans"] for r in O.orphan_counts(got, 3600).collect()}
     assert counts == {("io_event", 0, "absent"): 1, ("op_stats", -3600, "later"): 1, ("op_stats", 0, "removed"): 1}
+
+
+def test_a_hot_hour_of_one_key_is_spread(spark):
+    """Half of all references have one key, one hour and even one time; a key of 0.4 % is swept by one task."""
+    rows = spark.range(20_000).select(
+        F.lit("x").alias("ref_table"), F.col("id").alias("ref_id"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 250 == 1, "warm").otherwise(F.col("id").cast("string")).alias("k"),
+        F.lit(100).cast("bigint").alias("at"), F.lit(130).cast("bigint").alias("until"),
+    )
+    known = spark.createDataFrame([("hot", 0, 50), ("hot", 110, 120), ("warm", 131, 200), ("hot", 125, 126)], "k string, valid_from bigint, valid_to bigint")
+    found = O.orphans(rows, known, ["k"], shard_ns=60, task_rows=500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        tasks = [r["count"] for r in O.orphans(rows, known.limit(0), ["k"], shard_ns=60, task_rows=500).groupBy(F.spark_partition_id()).count().collect()]
+        reasons = {r["reason"]: r["count"] for r in found.groupBy("reason").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert reasons == {"absent": 9920, "later": 80}
+    assert sum(tasks) == 20_000
+    known = spark.createDataFrame([("hot", 0, 50), ("hot", 30, 121), ("hot", 131, 400)], "k string, valid_from bigint, valid_to bigint")
+    assert {r["reason"]: r["count"] for r in O.orphans(rows.filter("k = 'hot'"), known, ["k"], shard_ns=60, task_rows=500).groupBy("reason").count().collect()} == {}
+
+
+def test_inputs_are_read_twice(spark, sf_dir):
+    """Without hot keys: once to count, once for the sweep."""
+    io, stats, fd = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("io_event", "op_stats", "fd_map"))
+    text = O.descriptor_orphans(io, stats, fd)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("FileScan parquet") == 3 and text.count("Exchange hashpartitioning") == 1

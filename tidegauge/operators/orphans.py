@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions.exprs import HOUR_NS, canonical_host
-from tidegauge.operators.skew import heavy_keys, listed
 
 _OPEN = 2**63 - 1
+#: Rows of a key that one task sweeps at most; buckets of keys whose rows are counted; tasks for references without a key.
+TASK_ROWS, BUCKETS, NO_KEY_TASKS = 1 << 21, 1 << 20, 1024
 
 
 def references(
@@ -41,14 +42,15 @@ def parents(df: DataFrame, keys: dict[str, Column], valid_from: Column, valid_to
 
 
 def orphans(
-    refs: DataFrame, known: DataFrame, keys: Sequence[str], shard_ns: int = HOUR_NS, support: float = 0.005
+    refs: DataFrame, known: DataFrame, keys: Sequence[str], shard_ns: int = HOUR_NS, task_rows: int = TASK_ROWS, buckets: int = BUCKETS
 ) -> DataFrame:
     """References without a valid parent: ``(ref_table, ref_id, at, reason)``, one row per row of ``refs``.
 
     A reference is covered if the largest end among the parents that started by ``until`` lies beyond
     ``at``: the tagged union is grouped by key, and in time order a running maximum of the parents' ends flags
-    the references that have a parent. Keys with more than ``support`` of all rows (found by a sketch, so
-    their list is bounded) are cut along time as well, see ``_sharded``.
+    the references that have a parent. Keys are counted in hash buckets first; those of buckets above ``task_rows`` rows are
+    cut along time as well, and a time shard with more references than that by their ids, see ``_hot_groups``. So
+    no task sweeps much more than ``task_rows`` rows, whatever the size of the tables. One shuffle of all rows.
 
     ``reason`` is ``absent`` (the key has no parent at all), ``later`` (all of its parents start later, or the
     reference has no time) or ``removed``. A null in a key matches no parent (``absent``). Repeated
@@ -58,84 +60,62 @@ def orphans(
     no_key = F.lit(False)
     for k in keys:
         no_key = no_key | F.col(k).isNull()
-    whole_key = F.concat_ws("\x1f", *keys)
-    live, valid = refs.filter(~no_key), known.filter(~no_key)
-    both = live.select(*keys).unionByName(valid.select(*keys))
-    heavy = listed(heavy_keys(both, {"key": whole_key}, support)).select(F.col("val").alias("__hot"))
-
-    def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        tested = df.withColumn("__hot", whole_key)
-        return (
-            tested.join(F.broadcast(heavy), "__hot", "left_semi").drop("__hot"),
-            tested.join(F.broadcast(heavy), "__hot", "left_anti").drop("__hot"),
-        )
-
-    (hot_refs, cold_refs), (hot_known, cold_known) = split(live), split(valid)
-    traced = _swept(cold_refs, cold_known, keys).unionByName(_sharded(hot_refs, hot_known, keys, shard_ns))
-    no_time = F.col("at").isNull() | F.col("until").isNull()
-    found = traced.filter(F.col("end").isNull() | no_time | (F.col("end") <= F.col("at")))
-    reason = F.when(~F.col("any_parent"), "absent").when(F.col("end").isNull() | no_time, "later").otherwise("removed")
-    nowhere = refs.filter(no_key).select("ref_table", "ref_id", "at", F.lit("absent").alias("reason"))
-    return found.select("ref_table", "ref_id", "at", reason.alias("reason")).unionByName(nowhere)
-
-
-_TRACED = ["ref_table", "ref_id", "at", "until", "end", "any_parent"]
-
-
-def _tagged(refs: DataFrame, known: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Long form of both sides in time order: parents (tag 0) come before the references (tag 1) of their time."""
-    return refs.withColumns({"t": F.col("until"), "tag": F.lit(1)}).unionByName(
-        known.select(*group, F.col("valid_from").alias("t"), F.lit(0).alias("tag"), F.col("valid_to").alias("p_end")),
-        allowMissingColumns=True,
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    timed = F.col("at").isNotNull() & F.col("until").isNotNull()
+    live = refs.select("ref_table", "ref_id", "at", *keys, F.when(timed, F.col("until")).alias("t"), F.when(~no_key, bucket).alias("bucket"))
+    valid = known.filter(~no_key).select(*keys, F.col("valid_from").alias("t"), F.col("valid_to").alias("p_end"), bucket)
+    counted = live.select("bucket").unionByName(valid.select("bucket")).filter("bucket is not null").groupBy("bucket").count()
+    # at most one bucket per task_rows rows, and no more than there are buckets
+    hot = [(r["bucket"],) for r in counted.filter(F.col("count") > task_rows).collect()]
+    salt = F.when(F.col("bucket").isNull(), F.pmod(F.xxhash64("ref_id"), F.lit(NO_KEY_TASKS))).otherwise(0).cast("int")
+    live, valid = live.withColumns({"shard": F.lit(None).cast("bigint"), "salt": salt}), valid.withColumns({"shard": F.lit(None).cast("bigint"), "salt": F.lit(0)})
+    carried = None
+    if hot:
+        live, valid, carried = _hot_groups(live, valid, keys, refs.sparkSession.createDataFrame(hot, "bucket int"), shard_ns, task_rows)
+    columns = [*keys, "shard", "salt", "t"]
+    both = live.select(*columns, F.lit(1).alias("tag"), "ref_table", "ref_id", "at").unionByName(
+        valid.select(*columns, F.lit(0).alias("tag"), "p_end"), allowMissingColumns=True
     )
-
-
-def _swept(refs: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """References with the largest end of the parents begun by then, and whether their key has any parent."""
-    of_key = Window.partitionBy(*keys)
-    so_far = of_key.orderBy("t", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        _tagged(refs, known, keys)
-        .withColumn("end", F.max("p_end").over(so_far))
-        .withColumn("any_parent", F.max("p_end").over(of_key).isNotNull())
-        .filter(F.col("tag") == 1)
-        .select(*_TRACED)
-    )
-
-
-def _sharded(refs: DataFrame, known: DataFrame, keys: Sequence[str], shard_ns: int) -> DataFrame:
-    """``_swept`` for hot keys: groups are (key, time shard), so no task holds all rows of a key.
-
-    Both sides are pre-aggregated per (key, shard): the largest end of the parents that start there, and whether
-    there are references. A running maximum over the few shards of a key carries the ends on. Shards in
-    which no parent starts need only the carried end; the others are swept in time order.
+    if carried is not None:
+        both = both.unionByName(carried, allowMissingColumns=True)
+    group = Window.partitionBy(*keys, "shard", "salt")
+    so_far = group.orderBy("t", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # parents come before the references of their time
+    swept = both.withColumn("end", F.max("p_end").over(so_far)).withColumn("has_parent", F.max(F.col("tag") == 0).over(group)).filter("tag = 1")
+    found = swept.filter(F.col("end").isNull() | F.col("t").isNull() | (F.col("end") <= F.col("at")))
+    reason = F.when(~F.col("has_parent"), "absent").when(F.col("end").isNull() | F.col("t").isNull(), "later").otherwise("removed")
+    return found.select("ref_table", "ref_id", "at", reason.alias("reason"))
+
+
+def _hot_groups(
+    live: DataFrame, valid: DataFrame, keys: Sequence[str], hot: DataFrame, shard_ns: int, task_rows: int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both sides with ``shard`` and ``salt`` set for the hot buckets, and rows that carry the ends of parents into each group.
+
+    A hot bucket is cut into time shards (references without a time are one). A shard with more than ``task_rows`` references is cut
+    by the hash of their ids too, and the parents that start in it go to each of its cuts. Into every group of a key with
+    parents goes one row with the largest end of those that started in earlier shards: parents are pre-aggregated per (key,
+    shard), and a running maximum runs over the shards of a key.
     """
-    cut = lambda c: c - F.pmod(c, F.lit(shard_ns))
-    live = refs.withColumn("shard", F.coalesce(cut(F.col("until")), F.lit(-_OPEN)))
-    valid = known.withColumn("shard", cut(F.col("valid_from")))
-    long = live.select(*keys, "shard", F.lit(None).cast("bigint").alias("p_end"), F.lit(True).alias("is_ref")).unionByName(
-        valid.select(*keys, "shard", F.col("valid_to").alias("p_end"), F.lit(False).alias("is_ref"))
-    )
-    of_key = Window.partitionBy(*keys)
-    before = of_key.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    groups = (
-        long.groupBy(*keys, "shard")
-        .agg(F.max("p_end").alias("p_end"), F.max("is_ref").alias("is_ref"))
-        .withColumn("carried", F.max("p_end").over(before))
-        .withColumn("any_parent", F.max("p_end").over(of_key).isNotNull())
-        .filter("is_ref")
-        .select(*keys, "shard", "carried", "any_parent", F.col("p_end").isNotNull().alias("starts_here"))
-    )
-    joined = live.join(groups, [*keys, "shard"], "inner")
-    plain = joined.filter(~F.col("starts_here")).withColumn("end", F.col("carried"))
-    inside = valid.join(groups.filter("starts_here").select(*keys, "shard"), [*keys, "shard"], "left_semi")
-    so_far = Window.partitionBy(*keys, "shard").orderBy("t", "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = (
-        _tagged(joined.filter("starts_here"), inside, [*keys, "shard"])
-        .withColumn("end", F.greatest(F.max("p_end").over(so_far), F.col("carried")))
-        .filter(F.col("tag") == 1)
+    shard = F.coalesce(F.col("t") - F.pmod(F.col("t"), F.lit(shard_ns)), F.lit(-_OPEN))
+    flagged = hot.withColumn("hot", F.lit(True))
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(flagged), "bucket", "left").withColumn("shard", F.when("hot", shard)).drop("hot")
+
+    live, valid = cut(live), cut(valid)
+    both = live.select("bucket", "shard", F.lit(1).alias("n")).unionByName(valid.select("bucket", "shard", F.lit(0).alias("n")))
+    shards = both.filter("shard is not null").groupBy("bucket", "shard").agg(F.ceil((F.sum("n") + 1) / F.lit(task_rows)).cast("int").alias("salts"))
+    many = F.broadcast(shards.filter("salts > 1"))  # at most one per task_rows references
+    salts = F.coalesce("salts", F.lit(1))
+    live = live.join(many, ["bucket", "shard"], "left").withColumn("salt", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("ref_id"), F.col("salts")).cast("int")).otherwise(F.col("salt")))
+    valid = valid.join(many, ["bucket", "shard"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    ends = valid.filter("shard is not null and salt = 0").groupBy(*keys, "bucket", "shard").agg(F.max("p_end").alias("p_end"))
+    before = Window.partitionBy(*keys).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    groups = ends.select(*keys, "bucket").distinct().join(shards, "bucket").join(ends.drop("bucket"), [*keys, "shard"], "left")
+    carried = groups.select(
+        *keys, "shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-_OPEN - 1).alias("t"), F.lit(0).alias("tag"), F.max("p_end").over(before).alias("p_end")
     )
-    return plain.select(*_TRACED).unionByName(swept.select(*_TRACED))
+    return live, valid, carried
 
 
 def descriptor_orphans(io_event: DataFrame, op_stats: DataFrame, fd_map: DataFrame, bin_ns: int = HOUR_NS) -> DataFrame:
