@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidegauge.operators.aggregate import LIVE_KEY, partial_merge, sum_by
 from tidegauge.operators.binning import split_over_bins
 from tidegauge.operators.ingest import counted_opens
+from tidegauge.plans import streams
 from tidegauge.streaming import live
 
 
@@ -31,3 +32,25 @@ def test_counts_and_handles(spark, tmp_path):
     got = sorted(map(tuple, live.counted_opens_stream(stream).collect()))
     assert got == sorted(map(tuple, counted_opens(df).collect()))
     assert {r["handle"]: r["n"] for r in live.running_counts(stream, ["handle"]).collect()} == {0: 20, 1: 20, 2: 20}
+
+
+def test_small_files_share_a_batch(spark, sf_dir, tmp_path):
+    """A batch is cut by bytes: many small files don't make many batches, and files above the size come one by one."""
+    events = spark.read.parquet(f"{sf_dir}/io_event.parquet")
+    events.repartition(6).write.parquet(str(tmp_path / "io_event.parquet"))
+    got = {}
+    for size in (live.BATCH_BYTES, 1):
+        stream = live.event_stream(spark, str(tmp_path / "io_event.parquet"), bytes_per_trigger=size)
+        folder = live.partial_rows(stream, ["category", "timeBin"])
+        got[size] = (spark.read.parquet(folder).select("batch").distinct().count(), sorted(map(str, live.merged_partials(spark, folder, ["category", "timeBin"]).collect())))
+    assert (got[live.BATCH_BYTES][0], got[1][0]) == (1, 6)
+    assert got[live.BATCH_BYTES][1] == got[1][1]
+    batches = []
+    drained = live.drained
+    try:
+        live.drained = lambda *a, **k: batches.append(drained(*a, **k)) or batches[-1]
+        n = sum(r["n"] for r in streams.stream_tumbling(spark, str(tmp_path)).collect())
+    finally:
+        live.drained = drained
+    assert n == events.count()
+    assert spark.read.parquet(batches[0]).select("batch").distinct().count() == 1

@@ -12,7 +12,7 @@ _KEYS = ["source", "category", "timeBin"]
 
 
 def _stream(s, d):
-    return live.event_stream(s, f"{d}/io_event.parquet").withColumn("fd", F.coalesce("fd", F.lit(0)))
+    return live.event_stream(s, f"{d}/io_event.parquet", bytes_per_trigger=live.BATCH_BYTES).withColumn("fd", F.coalesce("fd", F.lit(0)))
 
 
 def stream_tumbling(s, d):

@@ -21,13 +21,21 @@ from tidegauge.operators.binning import split_over_bins
 from tidegauge.schema import MEASURES
 
 
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Stream of the Parquet files at ``path`` (a file, a folder or a pattern) in their own schema."""
+#: Stored bytes of a micro-batch over many files: a batch costs seconds of its own (state of every partition, log, output).
+BATCH_BYTES = 256 << 20
+
+
+def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1, bytes_per_trigger: int | None = None) -> DataFrame:
+    """Stream of the Parquet files at ``path`` (a file, a folder or a pattern) in their own schema.
+
+    With ``bytes_per_trigger`` a micro-batch takes files up to that size, one at least, in place of a number of them.
+    """
     schema = spark.read.parquet(path).schema
     folder, name = path.rsplit("/", 1)
     if not any(c in path for c in "*?[{"):  # a plain path must be a folder; a pattern that only it fits may be a file
         path = f"{folder}/[{name[0]}]{name[1:]}"
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    limit = ("maxBytesPerTrigger", bytes_per_trigger) if bytes_per_trigger else ("maxFilesPerTrigger", files_per_trigger)
+    return spark.readStream.schema(schema).option(*limit).parquet(path)
 
 
 def drained(stream: DataFrame, each: Callable[[DataFrame], DataFrame], name: str, mode: str = "append") -> str:
